@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from loamline.llm.decontaminate import OP10_SQL, op10_decontaminate
+from loamline.llm.licenses import OP3_SQL, op3_licenses
+from loamline.llm.mixing import op5_mixing
 
 QUERIES = {
+    "op3_licenses": op3_licenses,
+    "op5_mixing": op5_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {
+    "op3_licenses": OP3_SQL,
     "op10_decontaminate": OP10_SQL,
 }

@@ -19,22 +19,16 @@ def window_rows(docs: DataFrame, lengths: list[int]) -> DataFrame:
     base = docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), alnum_words(F.col("text")).alias("words")
     )
-    words, n = F.col("words"), F.size("words")
-
-    def of(length: int) -> Column:
-        made = F.transform(
-            F.sequence(F.lit(1), n - F.lit(length - 1)),
-            lambda i: F.struct(
-                F.lit(length).alias("length"),
-                (i - 1).alias("pos"),
-                F.xxhash64(F.slice(words, i, length)).alias("gram"),
-            ),
-        )
-        return F.when(n >= length, made).otherwise(F.array().cast("array<struct<length:int,pos:int,gram:bigint>>"))
-
-    none = F.array(F.struct(F.lit(0).alias("length"), F.lit(0).alias("pos"), F.lit(None).cast("long").alias("gram")))
-    rows = base.select("*", F.explode(F.concat(none, *[of(k) for k in lengths])).alias("w"))
-    return rows.select("uid", "doc_id", "words", F.size("words").cast("long").alias("n_words"), "w.length", "w.pos", "w.gram")
+    n, kinds = F.size("words"), len(lengths)
+    # one number a row says position and length; the hash is made after the explode, where it is compiled code
+    rows = base.select("*", F.explode(F.sequence(F.lit(-1), n * kinds - 1)).alias("at"))
+    length = F.lit(0)
+    for k, of in enumerate(lengths):
+        length = F.when((F.col("at") >= 0) & (F.col("at") % kinds == k), F.lit(of)).otherwise(length)
+    pos = F.when(F.col("at") >= 0, (F.col("at") / kinds).cast("int")).otherwise(0)
+    rows = rows.select("uid", "doc_id", "words", n.cast("long").alias("n_words"), length.alias("length"), pos.alias("pos"))
+    gram = F.when(F.col("length") > 0, F.xxhash64(F.slice("words", F.col("pos") + 1, F.col("length"))))
+    return rows.where(F.col("pos") + F.col("length") <= F.col("n_words")).withColumn("gram", gram)
 
 
 def window_text(words: Column, pos: Column, length: Column) -> Column:

@@ -83,3 +83,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+def slices(batches: Iterable, text: str = "text", most_bytes: int = 4_000_000) -> Iterable:
+    """Slices of Arrow batches whose texts hold about ``most_bytes`` at most, or one row."""
+    for batch in batches:
+        start, total = 0, 0
+        for i, size in enumerate(_sizes(batch.column(text))):
+            if i > start and total + size > most_bytes:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def _sizes(column) -> list[int]:
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()

@@ -89,15 +89,22 @@ class Model:
     """Interpolated bigram model: (c(v, w) + a P(w)) / (c(v) + a), P(w) = (c(w) + b / V) / (N + b)."""
 
     def __init__(self, words: np.ndarray, bigrams: np.ndarray, scale: float = 1.0):
+        self.scale = scale
         words, self.bigrams = words * scale, (bigrams * scale).astype(np.float32)
         self.word = ((words + WORD_PRIOR / len(words)) / (words.sum() + WORD_PRIOR)).astype(np.float32)
         self.follows = words.astype(np.float32)
 
-    def losses(self, ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """Natural log losses of each token."""
+    def losses(self, ids: np.ndarray, slots: np.ndarray, own: bool) -> np.ndarray:
+        """Natural log losses of each token; own: the text is one that the model was counted on, so its counts go out."""
         before = np.concatenate([[0], ids[:-1]])
-        top = self.bigrams[slots] + BIGRAM_PRIOR * self.word[ids]
-        return -np.log(top / np.maximum(self.follows[before] + BIGRAM_PRIOR, top))
+        pairs, follows = self.bigrams[slots], self.follows[before]
+        if own:
+            for counts, at in ((pairs, slots), (follows, before)):
+                _, where, n = np.unique(at, return_inverse=True, return_counts=True)
+                counts -= self.scale * n[where].astype(np.float32)
+                np.maximum(counts, 0, out=counts)
+        top = pairs + BIGRAM_PRIOR * self.word[ids]
+        return -np.log(top / np.maximum(follows + BIGRAM_PRIOR, top))
 
 
 def _score(vocabulary, models, n_slots: int):
@@ -105,11 +112,11 @@ def _score(vocabulary, models, n_slots: int):
         target, background = models.value
         for batch in slices(batches):
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
                 ids = vocabulary.value.of(text)
                 if len(ids):
                     slots = vocabulary.value.slots(ids, n_slots)
-                    a, b = target.losses(ids, slots), background.losses(ids, slots)
+                    a, b = target.losses(ids, slots, target is background or bool(wanted)), background.losses(ids, slots, True)
                     rows.append((len(ids), float(a.mean()), float(b.mean()), float((b - a).mean())))
                 else:
                     rows.append((0, None, None, None))
@@ -128,7 +135,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary_
     The background model is counted over all texts, the target model over the texts whose doc_id is in ``target_ids``.
     They are matched: one vocabulary (the ``vocabulary_size`` most frequent words of all texts, ties by the word), one
     order, one smoothing, and background counts scaled to the target's number of tokens, so that smoothing weighs
-    equally in both. score is the mean over tokens of background loss less target loss: higher is more like the target.
+    equally in both. A text's own pairs are left out of the counts that score it, so target texts gain nothing from
+    having been counted. score is the mean over tokens of background loss less target loss: higher is more like the target.
 
     Word and bigram counts are summed by tasks before they are shuffled. Empty and null texts have 0 tokens and null
     losses and score. With no target texts both models are the background and all scores are 0. Null ids are never
@@ -159,7 +167,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary_
     background = Model(words, bigrams, total_target / total if total and total_target else 1.0)
     target = Model(words_target, bigrams_target) if total_target else background
     models = spark.sparkContext.broadcast((target, background))
-    return docs.select("doc_id", "text").mapInArrow(
+    return texts.mapInArrow(
         _score(vocabulary, models, n_slots), "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loamline.llm.decontaminate import OP10_SQL, op10_decontaminate
+from loamline.llm.jaccard_join import op2_jaccard_join
 from loamline.llm.licenses import OP3_SQL, op3_licenses
 from loamline.llm.mixing import op5_mixing
 from loamline.llm.lm_scoring import op1_lm_scoring
@@ -10,6 +11,7 @@ from loamline.llm.quality import op6_quality
 from loamline.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_licenses": op3_licenses,
     "op5_mixing": op5_mixing,
     "op1_lm_scoring": op1_lm_scoring,

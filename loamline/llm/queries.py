@@ -8,6 +8,8 @@ from loamline.llm.licenses import OP3_SQL, op3_licenses
 from loamline.llm.mixing import op5_mixing
 from loamline.llm.lm_scoring import op1_lm_scoring
 from loamline.llm.quality import op6_quality
+from loamline.llm.suffix_array import op7_suffix_array
+from loamline.llm.suffix_tree import op8_suffix_tree
 from loamline.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -17,6 +19,8 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op6_quality": op6_quality,
+    "op7_suffix_array": op7_suffix_array,
+    "op8_suffix_tree": op8_suffix_tree,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {

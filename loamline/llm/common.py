@@ -33,6 +33,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def limited(rows: DataFrame, most: int = 600_000) -> DataFrame:
+    """A broadcast hint for a checkpointed table of narrow rows if it has at most ``most`` of them; else joins shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; the built-in lower() is the same, and faster, on pure ASCII."""
     ascii_only = F.octet_length(text) == F.char_length(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm.common import ALNUM_GAP, alnum_words, read_table
+from loamline.llm.common import ALNUM_GAP, alnum_words, checkpoint, limited, read_table
 from loamline.llm.windows import covered, window_rows, window_text
 
 #: Words of a window.
@@ -72,7 +72,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     report = contamination(docs, benchmark, window).where("contaminated")
     key = F.col("h_id").eqNullSafe(docs["doc_id"])
     if mode == "documents":
-        return docs.join(report.select(F.col("doc_id").alias("h_id")).distinct(), key, "left_anti")
+        bad = limited(checkpoint(report.select(F.col("doc_id").alias("h_id")).distinct()))
+        return docs.join(bad, key, "left_anti")
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode!r}")
     hits = report.select(

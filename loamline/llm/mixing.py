@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -127,14 +126,15 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, share
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each taken document, with all its columns, as often as it is taken.
+    """The documents that the mix takes, with all their columns and source_size, target, copies and taken.
 
     Rows that share doc_id and text are one document here, with the copies of all of them.
     """
-    taken = mix(docs, count_space_words(F.col("text")), **options).groupBy("row").agg(F.sum("copies").cast("int").alias("m_copies"))
+    made = mix(docs, count_space_words(F.col("text")), **options).groupBy(F.col("row").alias("m_row"))
+    made = made.agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("copies").cast("int").alias("copies"), F.sum("taken").alias("taken"))
     once = docs.withColumn("m_row", F.xxhash64("doc_id", "text")).dropDuplicates(["m_row"])
-    joined = once.join(taken.withColumnRenamed("row", "m_row").where("m_copies > 0"), "m_row")
-    return joined.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*docs.columns)
+    new = ["source_size", "target", "copies", "taken"]
+    return once.join(made.where("copies > 0"), "m_row").select(*[once[c] for c in docs.columns if c not in new], *[made[c] for c in new])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import SPACE_CLASS, checkpoint, count_space_words, read_table, space_words
+from loamline.llm.common import SPACE_CLASS, checkpoint, limited, read_table, space_words
 
 #: Words of a repeat window.
 REPEAT = 5
@@ -202,7 +202,7 @@ def keep_quality(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share a doc_id (null is one) go if one of them is not kept.
     """
-    bad = quality_verdicts(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("q_id")).distinct()
+    bad = limited(checkpoint(quality_verdicts(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("q_id")).distinct()))
     return docs.join(bad, F.col("q_id").eqNullSafe(docs["doc_id"]), "left_anti")
 
 

@@ -11,6 +11,7 @@ from loamline.llm.quality import op6_quality
 from loamline.llm.suffix_array import op7_suffix_array
 from loamline.llm.suffix_tree import op8_suffix_tree
 from loamline.llm.toxicity import op4_toxicity
+from loamline.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
@@ -21,9 +22,11 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_suffix_array": op7_suffix_array,
     "op8_suffix_tree": op8_suffix_tree,
+    "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {
     "op3_licenses": OP3_SQL,
+    "op9_warc": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
 }

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import WordHashes, checkpoint, mix, slices
+from loamline.llm.common import WordHashes, checkpoint, limited, mix, slices
 
 MASK = np.uint64((1 << 24) - 1)
 BASE = 0xD1342543DE82EF95
 #: Symbols that are handled at once; a longer text is handled in overlapping pieces.
 PIECE = 3_000_000
-#: Rows that are broadcast at most (about 40 bytes each); beyond, joins shuffle.
-BROADCAST_ROWS = 600_000
+#: Texts with lists of runs or spans that are broadcast at most; beyond, joins shuffle.
+BROADCAST_LISTS = 60_000
 
 
 @dataclass(frozen=True)
@@ -258,13 +258,9 @@ def in_groups(find: Callable, shape: Shape, most: int) -> Callable:
     return run
 
 
-def limited(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a checkpointed table if it has at most ``most`` rows."""
-    return F.broadcast(rows) if rows.count() <= most else rows
-
-
-def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int) -> DataFrame:
-    """doc_id, text, copy (of an equal text of another row), later (than the first equal text), spans of each row.
+def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, copy (of an equal text of another row), later (than the first equal text), spans of each row, and
+    the columns of ``carry`` as c_name.
 
     spans are the (first, last) starts of repeated windows in the text, as ``shape.first`` counts them. Equal texts are
     one text with the smallest doc_id (null comes last), whose rows alone are scanned.
@@ -273,6 +269,7 @@ def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int) ->
     texts = docs.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", last).alias("doc"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"),
+        *[F.col(c).alias(f"c_{c}") for c in carry],
     )
     equal = texts.where(F.col("size") >= shape.length).groupBy("tid", "size").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("rows"))
     equal = limited(checkpoint(equal.where("rows > 1").select("tid", "size", "least")))
@@ -282,17 +279,18 @@ def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int) ->
     found = once.mapInArrow(_scan(shape), "key long, context long, doc long, tid long, size long, first long, last long")
     groups = checkpoint(found.repartition("key").mapInArrow(_groups(shape), "key long, doc long, tid long, size long, first long, last long, settled boolean, ask boolean"))
     asked = groups.where("ask").groupBy("doc", "tid", "size").agg(F.collect_list(F.struct("key", "first", "last")).alias("asked"))
-    asked = limited(checkpoint(asked), BROADCAST_ROWS // 10)
+    asked = limited(checkpoint(asked), BROADCAST_LISTS)
     contexts = once.join(asked, ["doc", "tid", "size"]).mapInArrow(_contexts(shape), "key long, doc long, tid long, size long, first long, last long, symbols binary")
     sorted_by_key = contexts.repartition("key").sortWithinPartitions("key")
     solved = sorted_by_key.mapInArrow(in_groups(find, shape, most), "tid long, size long, first long, last long")
 
     spans = groups.where("settled").select("tid", "size", "first", "last").unionByName(solved)
     spans = spans.groupBy("tid", "size").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    spans = limited(checkpoint(spans), BROADCAST_ROWS // 10)
+    spans = limited(checkpoint(spans), BROADCAST_LISTS)
     return texts.join(spans, ["tid", "size"], "left").select(
-        "doc_id", "text", F.col("least").isNotNull().alias("copy"), F.coalesce(F.col("least") < F.col("doc"), F.lit(False)).alias("later"), "spans"
-    )
+        "doc_id", "text", F.col("least").isNotNull().alias("copy"), F.coalesce(F.col("least") < F.col("doc"), F.lit(False)).alias("later"), "spans",
+        *[f"c_{c}" for c in carry],
+    )
 
 
 def covered(spans: list[dict] | None, length: int, n: int) -> list[tuple[int, int]]:

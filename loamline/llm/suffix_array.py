@@ -63,15 +63,16 @@ def _cut(length: int, first: bool):
                 out.append((len(raw), [{"begin": a, "end": b} for a, b in parts], hashlib.sha256(kept).hexdigest(), kept if parts else None))
             n, spans, digest, kept = zip(*out, strict=True)
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+            carried = [c for c in batch.schema.names if c.startswith("c_")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(digest), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "cuts", "kept_sha256", "kept"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(digest), pa.array(kept, pa.binary()), *(batch.column(c) for c in carried)],
+                names=["doc_id", "n_bytes", "cuts", "kept_sha256", "kept", *carried],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, keep_first: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, keep_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, cuts, kept_sha256 and kept of each row: the bytes left without repeated strings of ``length``.
 
     Texts are UTF-8 bytes. A byte goes if a string of ``length`` bytes that covers it also starts elsewhere, in any
@@ -79,14 +80,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     Matches never cross documents, and are judged on the input. ``kept`` is null where nothing is cut; it may end inside
     a character, so it is binary.
 
-    Null texts are empty. Rows of equal text are each other's copies. Other columns are ignored.
+    Null texts are empty. Rows of equal text are each other's copies. Other columns are ignored but for those of
+    ``carry``, which come along as c_name.
     """
     shape = Shape(length, anchor, words=False, first=keep_first)
-    found = repeated_spans(docs, shape, factors(keep_first, length), AT_ONCE)
+    found = repeated_spans(docs, shape, factors(keep_first, length), AT_ONCE, carry)
     kinds = "doc_id long, n_bytes long, cuts array<struct<begin:long,end:long>>, kept_sha256 string, kept binary"
+    kinds = ", ".join([kinds, *[f"`c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]])
     return found.mapInArrow(_cut(length, keep_first), kinds)
 
 
+def cut_later_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the first copy of each repeated string left and the later ones cut out of their texts.
+
+    Parts of characters at the edges of a cut become replacement characters; documents of which only blanks are left go. ``n_chars``, where
+    there is such a column, is counted anew for cut texts. All other columns stay as they are.
+    """
+    carry = tuple(c for c in docs.columns if c != "doc_id")
+    found = remove_repeats(docs, length, keep_first=True, carry=carry)
+    cut = F.size("cuts") > 0
+    text = F.when(cut, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("c_text"))
+    found = found.withColumn("new_text", text).where(~cut | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = []
+    for c in docs.columns:
+        kind = docs.schema[c].dataType
+        new = {"doc_id": F.col("doc_id"), "text": F.col("new_text")}.get(c, F.col(f"c_{c}"))
+        columns.append((F.when(cut, F.char_length("new_text").cast(kind)).otherwise(new) if c == "n_chars" else new).alias(c))
+    return found.select(*columns)
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest of ``remove_repeats`` over whole ``documents``."""
     removed = F.aggregate("cuts", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["begin"])

@@ -1,4 +1,226 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries over the shared tables, each with the same rows as SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Tables are mapped onto the record types: part to products, orders to tasks, events to orders of a book, conversations
+and pages to messages. All queries run over whole tables.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamline.functions import http
+from loamline.functions.text import priority_rank, product_verdict, status_mark
+from loamline.operators import book, reports, tables
+from loamline.sources.json_tables import json_rows
+from loamline.sources.prices import load_history
+from loamline.streaming.book import depth_of_files
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("quantity"), F.col("p_retailprice").alias("price"))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.col("o_orderpriority")
+    priority = F.when(level.isin("1-URGENT", "2-HIGH"), "High").when(level == "5-LOW", "Low").otherwise("Medium")
+    orders = _table(spark, sf_dir, "orders")
+    return orders.select(F.col("o_orderkey").alias("id"), priority.alias("priority"), (F.col("o_orderstatus") == "F").alias("completed"))
+
+
+def as_orders(events: DataFrame) -> DataFrame:
+    side = F.when(F.col("event_type").isin("click", "purchase"), "Buy").otherwise("Sell")
+    quantity = F.get_json_object("props", "$.k").cast("long")
+    return events.select(
+        F.col("event_id").alias("id"), F.col("ts"), side.alias("side"), F.floor("value").cast("long").alias("price"), quantity.alias("quantity")
+    )
+
+
+def _text_request(role: Column, turn: Column, text: Column) -> Column:
+    return F.concat(
+        F.lit("POST /"), role, F.lit(" HTTP/1.1\r\nHost: first\r\nHost: last\r\nno colon here\r\nX-Turn:  "), turn.cast("string"),
+        F.lit("\r\nContent-Length: "), F.octet_length(text).cast("string"), F.lit("\r\n\r\n"), text,
+    )
+
+
+def inventory_value(spark, sf_dir):
+    return reports.inventory_value(products(spark, sf_dir))
+
+
+def low_stock(spark, sf_dir):
+    return reports.low_stock(products(spark, sf_dir))
+
+
+def product_by_id(spark, sf_dir):
+    return tables.by_id(products(spark, sf_dir), 5)
+
+
+def product_list(spark, sf_dir):
+    return reports.product_list(products(spark, sf_dir))
+
+
+def product_verdicts(spark, sf_dir):
+    shifted = products(spark, sf_dir).withColumn("quantity", F.col("quantity") - 3).withColumn("price", F.col("price") - 950)
+    return shifted.select("id", product_verdict(F.col("name"), F.col("quantity"), F.col("price")).alias("verdict"))
+
+
+def _product_changes(spark, sf_dir):
+    return products(spark, sf_dir).where("id % 5 = 0").withColumn("quantity", F.col("quantity") + 100)
+
+
+def product_upsert(spark, sf_dir):
+    return tables.upsert(products(spark, sf_dir), _product_changes(spark, sf_dir))
+
+
+def product_edit(spark, sf_dir):
+    edits = products(spark, sf_dir).where("id % 3 = 0").withColumn("quantity", F.col("quantity") - 10)
+    return tables.edit_products(products(spark, sf_dir), edits)
+
+
+def product_delete(spark, sf_dir):
+    everything = products(spark, sf_dir)
+    return tables.delete(everything, everything.where("id % 7 = 0").select("id"))
+
+
+def product_insert(spark, sf_dir):
+    everything = products(spark, sf_dir)
+    new = everything.where("id <= 5").select(F.col("id").alias("arrival"), F.concat(F.lit("new "), "name").alias("name"), (F.col("quantity") - 20).alias("quantity"), "price")
+    return tables.insert_products(everything, new)
+
+
+def product_json(spark, sf_dir):
+    return json_rows(products(spark, sf_dir), "id", "name")
+
+
+def next_id(spark, sf_dir):
+    return tables.next_id(products(spark, sf_dir))
+
+
+def task_by_status(spark, sf_dir):
+    found = reports.tasks_by_status(tasks(spark, sf_dir), True)
+    return found.select("id", status_mark(F.col("completed")).alias("mark"), "priority")
+
+
+def task_by_priority(spark, sf_dir):
+    return reports.tasks_by_priority(tasks(spark, sf_dir), "High")
+
+
+def task_sort_id(spark, sf_dir):
+    return reports.numbered(tasks(spark, sf_dir), "id")
+
+
+def task_sort_priority(spark, sf_dir):
+    return reports.numbered(tasks(spark, sf_dir), priority_rank(F.col("priority")).desc(), "id")
+
+
+def task_complete(spark, sf_dir):
+    return tables.set_completed(tasks(spark, sf_dir), F.col("id") % 10 == 0, True)
+
+
+def task_reopen(spark, sf_dir):
+    return tables.set_completed(tasks(spark, sf_dir), F.col("id") % 10 == 0, False)
+
+
+def task_delete_first(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem")
+    seq = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    listed = lines.select(F.col("l_orderkey").alias("id"), F.xxhash64(*seq).alias("seq")).distinct()
+    return tables.delete_first(listed, listed.where("id % 2 = 0").select("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_left"))
+
+
+def title_search(spark, sf_dir):
+    return reports.search_titles(_table(spark, sf_dir, "documents"), "The", "text").select("doc_id")
+
+
+def book_depth(spark, sf_dir):
+    return book.depth(as_orders(_table(spark, sf_dir, "events")))
+
+
+def book_fifo(spark, sf_dir):
+    return book.fifo(as_orders(_table(spark, sf_dir, "events")), "ts", "id").select("id", "side", "price", "place")
+
+
+def book_stream(spark, sf_dir):
+    return depth_of_files(spark, sf_dir, "events.parquet", as_orders, f"book_{uuid.uuid4().hex}")
+
+
+def http_parse(spark, sf_dir):
+    talks = _table(spark, sf_dir, "conversations")
+    raw = talks.select("conv_id", "turn", _text_request(F.col("role"), F.col("turn"), F.col("text")).alias("raw"))
+    asked = http.parse_requests(raw)
+    field = lambda k: F.element_at("headers", k)
+    return asked.select(
+        "conv_id", "turn", "method", "path", "version", field("Host").alias("host"), field("X-Turn").alias("x_turn"),
+        F.size("headers").cast("long").alias("n_headers"), http.content_length(F.col("raw")).cast("long").alias("content_length"), "body", "valid", "error",
+    )
+
+
+def http_route(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    method = F.when(F.col("page_id") % 2 == 0, "GET").otherwise("POST")
+    path = F.when(F.col("page_id") % 5 == 0, "/").when(F.col("page_id") % 5 == 1, "/message").when(F.col("page_id") % 5 == 2, "/about").otherwise(F.col("url"))
+    return pages.select("page_id", method.alias("method"), path.alias("path")).withColumn("route", http.route(F.col("method"), F.col("path")))
+
+
+def http_response(spark, sf_dir):
+    talks = _table(spark, sf_dir, "conversations")
+    return talks.select("conv_id", "turn", http.render_response(F.lit("200 OK"), F.concat(F.lit(http.RECEIVED), F.col("text"))).alias("response"))
+
+
+def range_head(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_totalprice")
+    return reports.head(load_history(orders, "1995-01-01", "1996-01-01", "o_orderdate"), "o_orderdate", "o_orderkey")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        inventory_value, low_stock, product_by_id, product_list, product_verdicts, product_upsert, product_edit, product_delete, product_insert,
+        product_json, next_id, task_by_status, task_by_priority, task_sort_id, task_sort_priority, task_complete, task_reopen, task_delete_first,
+        title_search, book_depth, book_fifo, book_stream, http_parse, http_route, http_response, range_head,
+    )
+}
+
+_PRODUCT = "SELECT p_partkey AS id, p_name AS name, p_size AS quantity, p_retailprice AS price FROM part"
+_PRIORITY = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'High' WHEN o_orderpriority = '5-LOW' THEN 'Low' ELSE 'Medium' END"
+_RANK = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 3 WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 2 END"
+_TASK = f"SELECT o_orderkey AS id, {_PRIORITY} AS priority, o_orderstatus = 'F' AS completed FROM orders"
+_ORDER = "SELECT event_id AS id, ts, CASE WHEN event_type IN ('click', 'purchase') THEN 'Buy' ELSE 'Sell' END AS side, CAST(floor(value) AS BIGINT) AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS quantity FROM events"
+_DEPTH = f"SELECT side, price, CAST(sum(quantity) AS BIGINT) AS quantity, count(*) AS n_orders FROM ({_ORDER}) GROUP BY side, price"
+_SET = "SELECT id, priority, CASE WHEN id % 10 = 0 THEN {to} ELSE completed END AS completed, CASE WHEN id % 10 <> 0 THEN 'untouched' WHEN completed = {to} THEN 'already' ELSE '{done}' END AS outcome FROM ({task})"
+
+ORACLE_SQL = {
+    "inventory_value": "SELECT CAST(sum(p_size * CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS total_value FROM part",
+    "low_stock": "SELECT p_name AS name FROM part WHERE p_size < 10",
+    "product_by_id": f"SELECT * FROM ({_PRODUCT}) WHERE id = 5",
+    "product_list": _PRODUCT,
+    "product_verdicts": f"SELECT id, CASE WHEN name = '' THEN 'empty name' WHEN quantity < 3 THEN 'bad quantity' WHEN price - 950 < 0 THEN 'bad price' ELSE 'ok' END AS verdict FROM ({_PRODUCT})",
+    "product_upsert": f"SELECT id, name, CASE WHEN id % 5 = 0 THEN quantity + 100 ELSE quantity END AS quantity, price FROM ({_PRODUCT})",
+    "product_edit": f"SELECT id, name, CASE WHEN id % 3 = 0 AND quantity >= 10 THEN quantity - 10 ELSE quantity END AS quantity, price FROM ({_PRODUCT})",
+    "product_delete": f"SELECT * FROM ({_PRODUCT}) WHERE id % 7 <> 0",
+    "product_insert": f"SELECT * FROM ({_PRODUCT}) UNION ALL SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY id), concat('new ', name), quantity - 20, price FROM ({_PRODUCT}) WHERE id <= 5 AND name <> '' AND quantity >= 20 AND price >= 0",
+    "product_json": "SELECT concat('{\"id\":', p_partkey, ',\"name\":\"', p_name, '\"}') AS value FROM part",
+    "next_id": "SELECT greatest(coalesce(max(p_partkey), 0), 0) + 1 AS next_id, count(*) AS n_rows FROM part",
+    "task_by_status": f"SELECT id, '[x] ' AS mark, priority FROM ({_TASK}) WHERE completed",
+    "task_by_priority": f"SELECT * FROM ({_TASK}) WHERE priority = 'High'",
+    "task_sort_id": f"SELECT *, row_number() OVER (ORDER BY id) AS place FROM ({_TASK})",
+    "task_sort_priority": f"SELECT o_orderkey AS id, {_PRIORITY} AS priority, o_orderstatus = 'F' AS completed, row_number() OVER (ORDER BY {_RANK} DESC, o_orderkey) AS place FROM orders",
+    "task_complete": _SET.format(to="TRUE", done="completed", task=_TASK),
+    "task_reopen": _SET.format(to="FALSE", done="reopened", task=_TASK),
+    "task_delete_first": "SELECT id, n_left FROM (SELECT l_orderkey AS id, count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity)) - CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END AS n_left FROM lineitem GROUP BY l_orderkey) WHERE n_left > 0",
+    "title_search": "SELECT doc_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the')",
+    "book_depth": _DEPTH,
+    "book_fifo": f"SELECT id, side, price, row_number() OVER (PARTITION BY side, price ORDER BY ts, id) AS place FROM ({_ORDER})",
+    "book_stream": _DEPTH,
+    "http_parse": "SELECT conv_id, turn, 'POST' AS method, concat('/', role) AS path, 'HTTP/1.1' AS version, 'last' AS host, concat(' ', turn) AS x_turn, CAST(3 AS BIGINT) AS n_headers, CAST(strlen(text) AS BIGINT) AS content_length, text AS body, TRUE AS valid, '' AS error FROM conversations",
+    "http_route": "SELECT page_id, method, path, CASE WHEN method = 'GET' AND path = '/' THEN 'home' WHEN method = 'GET' AND path = '/about' THEN 'about' WHEN method = 'POST' AND path = '/message' THEN 'message' ELSE 'not found' END AS route FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, CASE page_id % 5 WHEN 0 THEN '/' WHEN 1 THEN '/message' WHEN 2 THEN '/about' ELSE url END AS path FROM pages)",
+    "http_response": "SELECT conv_id, turn, concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), 'Content-Length: ', strlen(concat('Received: ', text)), chr(13), chr(10), 'Connection: close', chr(13), chr(10), chr(13), chr(10), 'Received: ', text) AS response FROM conversations",
+    "range_head": "SELECT o_orderdate, o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 5",
+}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.text import contains_ignoring_case, priority_rank, status_mark
+from loamline.plans.lineage import checkpoint
 
 #: A product with less is low on stock.
 LOW_STOCK = 10
@@ -60,12 +61,11 @@ def sort_by_priority(tasks: DataFrame, *ties: str) -> DataFrame:
 def numbered(tasks: DataFrame, *order, name: str = "place") -> DataFrame:
     """Places in an order over the whole table, from 1.
 
-    Rows are dealt to a fixed number of ranges and sorted there; a place is the row's number in its range plus the sizes
-    of those before, one count a range. So no task holds the table, as a window without partitions would. The order
-    has to be total, or equal rows swap places.
+    Rows are range-partitioned and sorted as by orderBy, and kept in a checkpoint, since borders drawn anew could
+    differ; a place is the row's number in its partition plus the sizes of those before, one count a partition. So no
+    task holds the table, as a window without partitions would.
     """
-    ranges = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tasks.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = checkpoint(tasks.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))

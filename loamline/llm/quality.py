@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import SPACE_CLASS, checkpoint, limited, read_table, space_words
+from loamline.llm.common import checkpoint, limited, read_table, space_words
 
 #: Words of a repeat window.
 REPEAT = 5
@@ -13,7 +13,7 @@ REPEAT = 5
 #: SHARE / P(chi2 with 6 degrees <= the SHARE quantile of chi2 with 4).
 SHARE, CONSISTENCY = 0.75, 1.486
 #: Concentration steps; rows that a group must have to be judged by itself; squared distance above which a row goes.
-STEPS, LEAST_ROWS, CUTOFF = 4, 50, 60.0
+STEPS, LEAST_ROWS, CUTOFF = 4, 50, 33.0
 #: The statistics and the least standard deviation that each is given, in its transformed unit.
 STATISTICS = {"log_word_chars": 0.12, "log_symbols": 0.5, "log_dup_lines": 0.5, "log_repeats": 0.5}
 #: Statistics are integers in this unit, so sums are exact and reruns agree.
@@ -123,12 +123,12 @@ def _concentrate(rows: DataFrame, shape: DataFrame) -> DataFrame:
     sort of the group; all rows of the step of the cut belong.
     """
     step = F.floor(F.log(_distance() + F.lit(1e-6)) * 64).cast("int")
-    near = rows.join(shape, "grp").select("grp", "start", "x", step.alias("step"))
+    near = rows.join(limited(shape), "grp").select("grp", "start", "x", step.alias("step"))
     counts = near.groupBy("grp", "start", "step").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("grp", "start").orderBy("step")
     enough = F.sum("n").over(order) >= SHARE * F.sum("n").over(Window.partitionBy("grp", "start"))
     cut = counts.withColumn("enough", enough).where("enough").groupBy("grp", "start").agg(F.min("step").alias("cut"))
-    kept = near.join(cut, ["grp", "start"]).where("step <= cut")
+    kept = near.join(limited(checkpoint(cut)), ["grp", "start"]).where("step <= cut")
     return checkpoint(_shape(_moments(kept, ["grp", "start"]), ["grp", "start"]))
 
 
@@ -143,7 +143,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     low, high = F.min(F.when(F.col("share") >= 0.25, F.col("v"))), F.min(F.when(F.col("share") >= 0.75, F.col("v")))
     quartiles = values.withColumn("share", share).groupBy("grp", "i").agg(low.alias("low"), high.alias("high"))
     box = quartiles.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("low", "high")))).alias("box"))
-    inside = rows.join(box, "grp")
+    inside = rows.join(limited(checkpoint(box)), "grp")
     for i in range(D):
         inside = inside.where(F.col("x")[i].between(F.col("box")[i]["low"], F.col("box")[i]["high"]))
     whole = _moments(rows, ["grp"]).withColumn("start", F.lit(0))
@@ -175,7 +175,7 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int =
     groups = fine.alias("f").join(by_lang.alias("l"), F.col("f.lang").eqNullSafe(F.col("l.lang")), "left")
     groups = checkpoint(groups.select(F.col("f.lang").alias("g_lang"), F.col("f.source").alias("g_source"), F.coalesce("grp", coarse).alias("grp"), "n"))
     sizes = groups.groupBy("grp").agg(F.sum("n").alias("n_grp"))
-    groups = groups.drop("n").join(sizes.where(F.col("n_grp") >= least_rows), "grp").drop("n_grp")
+    groups = limited(checkpoint(groups.drop("n").join(sizes.where(F.col("n_grp") >= least_rows), "grp").drop("n_grp")))
     vectors = judged.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     vectors = vectors.select("uid", "grp", "x")
 
@@ -185,7 +185,7 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int =
         shape = _concentrate(known, shape)
     first = Window.partitionBy("grp").orderBy("logdet", "start")
     best = shape.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank", "start", "logdet")
-    best = best.withColumnRenamed("grp", "b_grp")
+    best = limited(checkpoint(best.withColumnRenamed("grp", "b_grp")))
     named = rows.join(
         groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")) & ~F.col("base_failed"), "left"
     ).join(best, F.col("grp") == F.col("b_grp"), "left")

@@ -112,6 +112,18 @@ def task_by_priority(spark, sf_dir):
     return reports.tasks_by_priority(tasks(spark, sf_dir), "High")
 
 
+def task_list(spark, sf_dir):
+    titled = tasks(spark, sf_dir).withColumn("title", F.concat(F.lit("order "), F.col("id"))).withColumn("description", F.lit(""))
+    return reports.task_list(titled)
+
+
+def task_edit(spark, sf_dir):
+    titled = tasks(spark, sf_dir).withColumn("title", F.lit("old")).withColumn("description", F.lit("d"))
+    level = F.when(F.col("id") % 2 == 0, "hIGH").otherwise("urgent")
+    edits = titled.where("id % 3 = 0").select("id", F.lit("new").alias("title"), F.lit("e").alias("description"), level.alias("priority"))
+    return tables.edit_tasks(titled, edits)
+
+
 def task_sort_id(spark, sf_dir):
     return reports.numbered(tasks(spark, sf_dir), "id")
 
@@ -169,6 +181,15 @@ def http_route(spark, sf_dir):
     return pages.select("page_id", method.alias("method"), path.alias("path")).withColumn("route", http.route(F.col("method"), F.col("path")))
 
 
+def http_errors(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    kind = F.col("page_id") % 5
+    line = F.when(kind == 1, "GET / HTTP/2.0").when(kind == 2, "GET /").otherwise("GET /about HTTP/1.0")
+    length = F.when(kind == 3, "x").when(kind == 4, "1048577").otherwise("0")
+    raw = F.concat(line, F.lit("\r\nContent-Length: "), length, F.lit("\r\n\r\n"))
+    return http.handle(pages.select("page_id", raw.alias("raw"))).select("page_id", "valid", "error", "route", "status")
+
+
 def http_response(spark, sf_dir):
     talks = _table(spark, sf_dir, "conversations")
     return talks.select("conv_id", "turn", http.render_response(F.lit("200 OK"), F.concat(F.lit(http.RECEIVED), F.col("text"))).alias("response"))
@@ -183,8 +204,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         inventory_value, low_stock, product_by_id, product_list, product_verdicts, product_upsert, product_edit, product_delete, product_insert,
-        product_json, next_id, task_by_status, task_by_priority, task_sort_id, task_sort_priority, task_complete, task_reopen, task_delete_first,
-        title_search, book_depth, book_fifo, book_stream, http_parse, http_route, http_response, range_head,
+        product_json, next_id, task_by_status, task_by_priority, task_list, task_edit, task_sort_id, task_sort_priority, task_complete, task_reopen, task_delete_first,
+        title_search, book_depth, book_fifo, book_stream, http_parse, http_route, http_errors, http_response, range_head,
     )
 }
 
@@ -210,6 +231,8 @@ ORACLE_SQL = {
     "next_id": "SELECT greatest(coalesce(max(p_partkey), 0), 0) + 1 AS next_id, count(*) AS n_rows FROM part",
     "task_by_status": f"SELECT id, '[x] ' AS mark, priority FROM ({_TASK}) WHERE completed",
     "task_by_priority": f"SELECT * FROM ({_TASK}) WHERE priority = 'High'",
+    "task_list": f"SELECT id, CASE WHEN completed THEN '[x] ' ELSE '[ ] ' END AS mark, concat('order ', id) AS title, '' AS description, priority FROM ({_TASK})",
+    "task_edit": f"SELECT id, CASE WHEN id % 6 = 0 THEN 'High' ELSE priority END AS priority, completed, CASE WHEN id % 6 = 0 THEN 'new' ELSE 'old' END AS title, CASE WHEN id % 6 = 0 THEN 'e' ELSE 'd' END AS description FROM ({_TASK})",
     "task_sort_id": f"SELECT *, row_number() OVER (ORDER BY id) AS place FROM ({_TASK})",
     "task_sort_priority": f"SELECT o_orderkey AS id, {_PRIORITY} AS priority, o_orderstatus = 'F' AS completed, row_number() OVER (ORDER BY {_RANK} DESC, o_orderkey) AS place FROM orders",
     "task_complete": _SET.format(to="TRUE", done="completed", task=_TASK),
@@ -221,6 +244,7 @@ ORACLE_SQL = {
     "book_stream": _DEPTH,
     "http_parse": "SELECT conv_id, turn, 'POST' AS method, concat('/', role) AS path, 'HTTP/1.1' AS version, 'last' AS host, concat(' ', turn) AS x_turn, CAST(3 AS BIGINT) AS n_headers, CAST(strlen(text) AS BIGINT) AS content_length, text AS body, TRUE AS valid, '' AS error FROM conversations",
     "http_route": "SELECT page_id, method, path, CASE WHEN method = 'GET' AND path = '/' THEN 'home' WHEN method = 'GET' AND path = '/about' THEN 'about' WHEN method = 'POST' AND path = '/message' THEN 'message' ELSE 'not found' END AS route FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, CASE page_id % 5 WHEN 0 THEN '/' WHEN 1 THEN '/message' WHEN 2 THEN '/about' ELSE url END AS path FROM pages)",
+    "http_errors": "SELECT page_id, page_id % 5 = 0 AS valid, error, CASE WHEN page_id % 5 = 0 THEN 'about' ELSE 'bad request' END AS route, CASE WHEN page_id % 5 = 0 THEN '200 OK' ELSE '400 Bad Request' END AS status FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Unsupported HTTP version' WHEN 2 THEN 'Unsupported HTTP version' WHEN 3 THEN 'Invalid Content-Length' ELSE 'Request body too large' END AS error FROM pages)",
     "http_response": "SELECT conv_id, turn, concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), 'Content-Length: ', strlen(concat('Received: ', text)), chr(13), chr(10), 'Connection: close', chr(13), chr(10), chr(13), chr(10), 'Received: ', text) AS response FROM conversations",
     "range_head": "SELECT o_orderdate, o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 5",
 }

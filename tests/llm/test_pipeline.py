@@ -1,0 +1,46 @@
+"""The registered queries against their SQL, and the pipeline's stages in order."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from loamline.llm import queries
+
+DATA = Path("/root/testdata/sf0.001")
+needs_data = pytest.mark.skipif(not DATA.exists(), reason="needs the shared tables")
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for path in DATA.glob("*.parquet"):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    found, wanted = queries.QUERIES[name](spark, str(DATA)), con.sql(queries.ORACLE_SQL[name])
+    assert sorted(found.columns) == sorted(wanted.columns)
+    order = [wanted.columns.index(c) for c in found.columns]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted((tuple(r[i] for i in order) for r in wanted.fetchall()), key=str)
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_return_a_row_for_each_input_row(spark, name):
+    table = "pages" if name == "op9_warc" else "documents"
+    assert queries.QUERIES[name](spark, str(DATA)).count() == spark.read.parquet(str(DATA / f"{table}.parquet")).count()
+
+
+@needs_data
+def test_stages_follow_each_other(spark, tmp_path):
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    first, columns, ids = docs, docs.columns, {r[0] for r in docs.select("doc_id").collect()}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(DATA)).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        kept = {r[0] for r in docs.select("doc_id").collect()}
+        assert kept <= ids and docs.columns[: len(columns)] == columns
+        ids = kept
+    assert 0 < len(ids) < first.count()
+    whole = {(r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, str(DATA)).collect()}
+    assert whole == {(r["doc_id"], r["taken"]) for r in docs.collect()}

@@ -22,9 +22,9 @@ from loamline.llm.common import WordHashes, checkpoint, limited, mix, slices
 MASK = np.uint64((1 << 24) - 1)
 BASE = 0xD1342543DE82EF95
 #: Symbols that are handled at once; a longer text is handled in overlapping pieces.
-PIECE = 3_000_000
-#: Texts with lists of runs or spans that are broadcast at most; beyond, joins shuffle.
-BROADCAST_LISTS = 60_000
+PIECE = 800_000
+#: Bytes of span lists that are broadcast at most; beyond, that join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,7 @@ def _scan(shape: Shape) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=1_000_000):
             texts = [shape.symbols(hashes, t) for t in batch.column("text").to_pylist()]
             own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tid", "size")]
             for symbols, ends, where in _pieces(texts, shape.length):
@@ -186,7 +186,7 @@ def _contexts(shape: Shape) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=1_000_000):
             out = []
             columns = (batch.column(c).to_pylist() for c in ("text", "doc", "tid", "size", "asked"))
             for text, doc, tid, size, asked in zip(*columns, strict=True):
@@ -258,6 +258,26 @@ def in_groups(find: Callable, shape: Shape, most: int) -> Callable:
     return run
 
 
+def _merge(length: int) -> Callable:
+    """Each text's runs as few, covering the same symbols."""
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = []
+            for spans in batch.column("spans").to_pylist():
+                out: list[dict] = []
+                for first, last in sorted((s["first"], s["last"]) for s in spans):
+                    if out and first <= out[-1]["last"] + length:
+                        out[-1]["last"] = max(out[-1]["last"], last)
+                    else:
+                        out.append({"first": first, "last": last})
+                merged.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("size"), pa.array(merged, kind)], names=["tid", "size", "spans"])
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, copy (of an equal text of another row), later (than the first equal text), spans of each row, and
     the columns of ``carry`` as c_name.
@@ -279,14 +299,15 @@ def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int, car
     found = once.mapInArrow(_scan(shape), "key long, context long, doc long, tid long, size long, first long, last long")
     groups = checkpoint(found.repartition("key").mapInArrow(_groups(shape), "key long, doc long, tid long, size long, first long, last long, settled boolean, ask boolean"))
     asked = groups.where("ask").groupBy("doc", "tid", "size").agg(F.collect_list(F.struct("key", "first", "last")).alias("asked"))
-    asked = limited(checkpoint(asked), BROADCAST_LISTS)
-    contexts = once.join(asked, ["doc", "tid", "size"]).mapInArrow(_contexts(shape), "key long, doc long, tid long, size long, first long, last long, symbols binary")
+    contexts = once.hint("shuffle_merge").join(asked, ["doc", "tid", "size"]).mapInArrow(_contexts(shape), "key long, doc long, tid long, size long, first long, last long, symbols binary")
     sorted_by_key = contexts.repartition("key").sortWithinPartitions("key")
     solved = sorted_by_key.mapInArrow(in_groups(find, shape, most), "tid long, size long, first long, last long")
 
     spans = groups.where("settled").select("tid", "size", "first", "last").unionByName(solved)
     spans = spans.groupBy("tid", "size").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    spans = limited(checkpoint(spans), BROADCAST_LISTS)
+    spans = checkpoint(spans.mapInArrow(_merge(shape.length), "tid long, size long, spans array<struct<first:long,last:long>>"))
+    held = spans.agg(F.sum(F.size("spans") * 16 + 48)).first()[0] or 0
+    spans = F.broadcast(spans) if held <= BROADCAST_BYTES else spans
     return texts.join(spans, ["tid", "size"], "left").select(
         "doc_id", "text", F.col("least").isNotNull().alias("copy"), F.coalesce(F.col("least") < F.col("doc"), F.lit(False)).alias("later"), "spans",
         *[f"c_{c}" for c in carry],

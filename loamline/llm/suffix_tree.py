@@ -13,7 +13,7 @@ from loamline.llm.common import read_table, slices
 from loamline.llm.repeats import Shape, covered, repeated_spans
 
 #: Words of a window, and of an anchor; words of contexts that are taken at once.
-WINDOW, ANCHOR, AT_ONCE = 20, 4, 600_000
+WINDOW, ANCHOR, AT_ONCE = 20, 4, 400_000
 #: Suffixes of one subtree at most, unless they share their whole depth.
 SUBTREE = 4096
 
@@ -106,3 +106,19 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int =
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest of ``remove_repeated_windows`` over whole ``documents``."""
     return remove_repeated_windows(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: The same rows for DuckDB.
+OP8_SQL = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS uid, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+v AS (SELECT uid, doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT uid, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20)),
+later AS (SELECT uid, i FROM (SELECT uid, i, rank() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) AS r FROM v) WHERE r > 1),
+gone AS (SELECT DISTINCT uid, unnest(range(i, i + 20)) AS p FROM later),
+words AS (SELECT uid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t),
+kept AS (SELECT uid, string_agg(word, ' ' ORDER BY p) AS k FROM words ANTI JOIN gone USING (uid, p) GROUP BY uid),
+n AS (SELECT uid, count(*) AS n FROM gone GROUP BY uid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (uid) LEFT JOIN n USING (uid)
+"""

@@ -14,7 +14,7 @@ from loamline.llm.common import read_table, slices
 from loamline.llm.repeats import Shape, covered, repeated_spans, suffix_ranks
 
 #: Bytes of a repeated string, and of an anchor; bytes of contexts that are sorted at once.
-LENGTH, ANCHOR, AT_ONCE = 400, 32, 1_500_000
+LENGTH, ANCHOR, AT_ONCE = 400, 32, 800_000
 
 
 def neighbours(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

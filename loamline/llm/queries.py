@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from loamline.llm.decontaminate import OP10_SQL, op10_decontaminate
-from loamline.llm.jaccard_join import op2_jaccard_join
+from loamline.llm.jaccard_join import OP2_SQL, op2_jaccard_join
 from loamline.llm.licenses import OP3_SQL, op3_licenses
 from loamline.llm.mixing import op5_mixing
 from loamline.llm.lm_scoring import op1_lm_scoring
 from loamline.llm.quality import op6_quality
 from loamline.llm.suffix_array import op7_suffix_array
-from loamline.llm.suffix_tree import op8_suffix_tree
+from loamline.llm.suffix_tree import OP8_SQL, op8_suffix_tree
 from loamline.llm.toxicity import op4_toxicity
 from loamline.llm.warc import OP9_SQL, op9_warc
 
@@ -26,6 +26,8 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {
+    "op2_jaccard_join": OP2_SQL,
+    "op8_suffix_tree": OP8_SQL,
     "op3_licenses": OP3_SQL,
     "op9_warc": OP9_SQL,
     "op10_decontaminate": OP10_SQL,

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamline.plans.lineage import checkpoint
+
+__all__ = [
+    "ALNUM_GAP", "ALNUM_TABLE", "SPACE_CLASS", "SPACE_WORD", "WordHashes", "alnum_words", "ascii_lower", "checkpoint",
+    "count_space_words", "limited", "mix", "most_frequent", "read_table", "slices", "space_words",
+]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -21,18 +27,6 @@ ALNUM_TABLE = bytes(
 )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with reliable files in the shared folder (``spark.checkpoint.dir``).
-
-    Only where the session names no folder, as in tests, one under the temporary folder is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"{tempfile.gettempdir()}/loamline-checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def limited(rows: DataFrame, most: int = 600_000) -> DataFrame:
     """A broadcast hint for a checkpointed table of narrow rows if it has at most ``most`` of them; else joins shuffle."""
     return F.broadcast(rows) if rows.count() <= most else rows

@@ -81,13 +81,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """Each revisit of ``records`` (record_id, url, ts, status, headers, payload) with what it stands for.
 
     A record of status 304 is a revisit, one of 200 a full response; others are neither. headers is an array of (name,
-    value), ts a whole number such as microseconds. Returns record_id, canonical_url, ref_id, outcome, status, headers, payload: for the outcome ``resolved`` the
-    status 200, the body of the latest full response of the same canonical URL that is earlier, and its headers with
-    the revisit's permitted ones. Validators are compared first: entity tags weakly if both have one, else modification
+    value), ts a whole number such as microseconds. Returns record_id, canonical_url, ref_id, outcome, status, headers,
+    payload: for the outcome ``resolved`` the status 200, the body of the latest full response of the same canonical URL
+    that is earlier, and its headers with the revisit's permitted ones. Validators are compared first: entity tags weakly if both have one, else modification
     dates if both have one. Other outcomes keep the revisit's status and headers and have no body: ``no earlier
     response``, ``validator mismatch``, ``no validator``.
 
-    Null url or ts match nothing. Records of equal ts aren't earlier. Repeated record_ids are resolved alike. A response
+    Null url or ts match nothing. Records of equal ts aren't earlier. Repeated revisits are resolved alike; a
+    full response whose record_id comes twice gives each of its revisits two rows. A response
     that very many revisits refer to is one row of a join that may be split on the other side. Further columns are
     ignored.
     """

@@ -119,8 +119,32 @@ def _pieces(texts: list[np.ndarray], length: int) -> Iterator[tuple[np.ndarray,
         yield np.concatenate(held), np.cumsum([len(x) for x in held]), where
 
 
+def change(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    if not len(columns[0]):
+        return np.zeros(0, bool)
+    return np.concatenate([[True], np.any([np.diff(c) != 0 for c in columns], axis=0)])
+
+
+def combine(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the runs (key, context, doc, tid, size, first, last) of a piece, with a column copies added: one row stands for
+    all equal contexts, with their number; the others are settled, so they get 0 and a key of their own.
+
+    A passage that very many texts share so sends one row from each piece to its key, and the rest anywhere.
+    """
+    key, context, doc, tid, _, start, _ = rows
+    order = np.lexsort((start, tid, doc, context, key))
+    rows = [c[order] for c in rows]
+    keep = change(rows[0], rows[1], rows[3], rows[5])  # repeated rows of one document
+    rows = [c[keep] for c in rows]
+    new = change(rows[0], rows[1])
+    copies = np.where(new, np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] if len(new) else 0, 0)
+    own = mix(rows[3].view(np.uint64) + mix(rows[5].astype(np.uint64))).view(np.int64)
+    return [np.where(new, rows[0], own), *rows[1:], copies]
+
+
 def _scan(shape: Shape) -> Callable:
-    names = ["key", "context", "doc", "tid", "size", "first", "last"]
+    names = ["key", "context", "doc", "tid", "size", "first", "last", "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -133,8 +157,8 @@ def _scan(shape: Shape) -> Callable:
                 piece = np.searchsorted(begins, first, side="right") - 1
                 text = np.array([w[0] for w in where])[piece]
                 shift = np.array([w[2] for w in where])[piece] - begins[piece]
-                columns = [key, context, *(c[text] for c in own), first + shift, last + shift]
-                for i in range(0, len(key), 200_000):
+                columns = combine([key, context, *(c[text] for c in own), first + shift, last + shift])
+                for i in range(0, len(columns[0]), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 200_000]) for c in columns], names=names)
 
     return run
@@ -143,40 +167,44 @@ def _scan(shape: Shape) -> Callable:
 def _groups(shape: Shape) -> Callable:
     """Of one partition of runs: those whose windows are settled by equal contexts, and one run of each context of a key that has several."""
 
+    def out(rows: list[np.ndarray], settled: np.ndarray, ask: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(rows[i]) for i in (0, 2, 3, 4, 5, 6)), pa.array(settled), pa.array(ask)],
+            names=["key", "doc", "tid", "size", "first", "last", "settled", "ask"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[] for _ in range(7)]
+        columns = [[] for _ in range(8)]
         for batch in batches:
             for held, c in zip(columns, batch.columns, strict=True):
                 held.append(c.to_numpy())
         if not columns[0]:
             return
         rows = [np.concatenate(c) for c in columns]
+        settled_before = rows[7] == 0
+        yield out([c[settled_before] for c in rows], np.ones(settled_before.sum(), bool), np.zeros(settled_before.sum(), bool))
+        rows = [c[~settled_before] for c in rows]
         order = np.argsort(rows[0])  # most keys come once and go before anything else is sorted
         same = np.diff(rows[0][order]) == 0
-        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(order) else np.zeros(0, bool)
+        several |= rows[7][order] > 1
         rows = [c[order[several]] for c in rows]
-        key, context, doc, tid, _, first, _ = rows
+        key, context, doc, tid, _, first, _, _ = rows
         order = np.lexsort((first, tid, doc, context, key))
         rows = [c[order] for c in rows]
-        key, context, doc, tid, _, first, _ = rows
-        if not len(key):
+        if not len(order):
             return
-        change = lambda *cs: np.concatenate([[True], np.any([np.diff(c) != 0 for c in cs], axis=0)])
-        keep = change(key, context, tid, first)  # repeated rows of one document
-        rows = [c[keep] for c in rows]
-        key, context = rows[0], rows[1]
-        new_key, new_context = change(key), change(key, context)
+        new = change(rows[0], rows[1], rows[3], rows[5])  # repeated rows of one document
+        counts = np.maximum.reduceat(rows[7], np.flatnonzero(new))
+        rows = [c[new] for c in rows]
+        new_key, new_context = change(rows[0]), change(rows[0], rows[1])
         of_context = np.cumsum(new_context) - 1
-        copies = np.bincount(of_context)[of_context]
+        copies = np.bincount(of_context, weights=counts)[of_context]
         of_key = np.cumsum(new_key) - 1
         contexts = np.bincount(of_key, weights=new_context)[of_key]
         settled = (copies > 1) & (~new_context if shape.first else True)
         ask = new_context & (contexts > 1)
-        out = settled | ask
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(rows[i][out]) for i in (0, 2, 3, 4, 5, 6)), pa.array(settled[out]), pa.array(ask[out])],
-            names=["key", "doc", "tid", "size", "first", "last", "settled", "ask"],
-        )
+        yield out([c[settled | ask] for c in rows], settled[settled | ask], ask[settled | ask])
 
     return run
 
@@ -296,7 +324,7 @@ def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int, car
     texts = texts.join(equal, ["tid", "size"], "left")
     once = texts.where("size >= %d and (least is null or least = doc)" % shape.length).select("doc", "tid", "size", "text")
 
-    found = once.mapInArrow(_scan(shape), "key long, context long, doc long, tid long, size long, first long, last long")
+    found = once.mapInArrow(_scan(shape), "key long, context long, doc long, tid long, size long, first long, last long, copies long")
     groups = checkpoint(found.repartition("key").mapInArrow(_groups(shape), "key long, doc long, tid long, size long, first long, last long, settled boolean, ask boolean"))
     asked = groups.where("ask").groupBy("doc", "tid", "size").agg(F.collect_list(F.struct("key", "first", "last")).alias("asked"))
     contexts = once.hint("shuffle_merge").join(asked, ["doc", "tid", "size"]).mapInArrow(_contexts(shape), "key long, doc long, tid long, size long, first long, last long, symbols binary")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm.common import checkpoint, read_table, slices
+from loamline.llm.common import checkpoint, most_frequent, read_table, slices
 
 #: Words of the shared vocabulary (all others are one unknown word), and slots of the hashed bigram table. Both are sizes
 #: of the model: what is broadcast is bounded by them, whatever the corpus.
@@ -133,7 +133,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary_
     """doc_id, n_tokens, target_loss, background_loss, score of each row of ``docs``.
 
     The background model is counted over all texts, the target model over the texts whose doc_id is in ``target_ids``.
-    They are matched: one vocabulary (the ``vocabulary_size`` most frequent words of all texts, ties by the word), one
+    They are matched: one vocabulary (the most frequent words of all texts, ``vocabulary_size`` less 1 at most, equally frequent ones
+    in or out together), one
     order, one smoothing, and background counts scaled to the target's number of tokens, so that smoothing weighs
     equally in both. A text's own pairs are left out of the counts that score it, so target texts gain nothing from
     having been counted. score is the mean over tokens of background loss less target loss: higher is more like the target.
@@ -151,7 +152,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary_
 
     counts = texts.mapInArrow(_count_words, "word binary, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
     counts = checkpoint(counts)
-    known = counts.orderBy(F.desc("n"), "word").limit(vocabulary_size - 1).collect()
+    known = sorted(most_frequent(counts, vocabulary_size - 1).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     total, total_target = counts.agg(F.sum("n"), F.sum("n_target")).first()
     total, total_target = total or 0, total_target or 0
     words, words_target = (np.array([0, *[r[k] for r in known]], np.float64) for k in ("n", "n_target"))

@@ -140,7 +140,8 @@ def combine(rows: list[np.ndarray]) -> list[np.ndarray]:
     new = change(rows[0], rows[1])
     copies = np.where(new, np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] if len(new) else 0, 0)
     own = mix(rows[3].view(np.uint64) + mix(rows[5].astype(np.uint64))).view(np.int64)
-    return [np.where(new, rows[0], own), *rows[1:], copies]
+    by_text = np.lexsort((rows[5], rows[3]))  # neighbours that are alike compress well
+    return [c[by_text] for c in (np.where(new, rows[0], own), *rows[1:], copies)]
 
 
 def _scan(shape: Shape) -> Callable:

@@ -312,7 +312,7 @@ def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int, car
     the columns of ``carry`` as c_name.
 
     spans are the (first, last) starts of repeated windows in the text, as ``shape.first`` counts them. Equal texts are
-    one text with the smallest doc_id (null comes last), whose rows alone are scanned.
+    one text with the smallest doc_id (null comes last), of whose rows one alone is scanned.
     """
     last = F.lit((1 << 63) - 1)
     texts = docs.select(
@@ -320,10 +320,15 @@ def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int, car
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"),
         *[F.col(c).alias(f"c_{c}") for c in carry],
     )
-    equal = texts.where(F.col("size") >= shape.length).groupBy("tid", "size").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("rows"))
-    equal = limited(checkpoint(equal.where("rows > 1").select("tid", "size", "least")))
-    texts = texts.join(equal, ["tid", "size"], "left")
-    once = texts.where("size >= %d and (least is null or least = doc)" % shape.length).select("doc", "tid", "size", "text")
+    equal = texts.where(F.col("size") >= shape.length).groupBy("tid", "size", "doc").agg(F.count(F.lit(1)).alias("rows"))
+    equal = equal.groupBy("tid", "size").agg(F.min(F.struct("doc", "rows")).alias("least"), F.sum("rows").alias("rows")).where("rows > 1")
+    equal = checkpoint(equal.select("tid", "size", F.col("least.doc").alias("least"), (F.col("least.rows") > 1).alias("again")))
+    repeated = not equal.where("again").isEmpty()
+    texts = texts.join(limited(equal), ["tid", "size"], "left")
+    once = texts.where("size >= %d and (least is null or least = doc)" % shape.length).select("doc", "tid", "size", "text", "again")
+    if repeated:  # only texts whose smallest id comes in several rows are shuffled for it
+        once = once.where("again is null or not again").unionByName(once.where("again").dropDuplicates(["doc", "tid", "size"]))
+    once = once.drop("again")
 
     found = once.mapInArrow(_scan(shape), "key long, context long, doc long, tid long, size long, first long, last long, copies long")
     groups = checkpoint(found.repartition("key").mapInArrow(_groups(shape), "key long, doc long, tid long, size long, first long, last long, settled boolean, ask boolean"))

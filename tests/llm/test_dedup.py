@@ -198,6 +198,16 @@ def test_repeated_windows_equal_brute_force(spark, monkeypatch, window, anchor,
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found.collect()) == wanted
 
 
+def test_repeated_rows_keep_their_first_copies(spark):
+    words = [f"w{i * 7919 % 1009}" for i in range(200)]
+    first, later = " ".join(words[:120]), " ".join([f"x{i}" for i in range(30)] + words[30:90] + [f"y{i}" for i in range(30)])
+    docs = documents(spark, [(1, first), (1, first), (2, later), (3, "alone")])
+    found = suffix_tree.remove_repeated_windows(docs).collect()
+    assert Counter((r["doc_id"], r["n_removed"]) for r in found) == {(1, 0): 2, (2, 60): 1, (3, 0): 1}
+    kept = suffix_array.cut_later_copies(docs, 100).collect()
+    assert [r["text"] for r in kept if r["doc_id"] == 1] == [first, first]
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     for found in (jaccard_join.jaccard_components(none), suffix_array.remove_repeats(none), suffix_tree.remove_repeated_windows(none), suffix_array.cut_later_copies(none), jaccard_join.keep_one(none)):

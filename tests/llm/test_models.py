@@ -32,6 +32,41 @@ def test_scores_prefer_what_is_like_the_target(spark):
     assert [r["n_tokens"] for r in found if r["doc_id"] == 900] == [0]
 
 
+def brute_losses(texts, targets):
+    """Losses by the formula with all words and pairs, each text scored without its own counts."""
+    split = [(t or "").lower().split() for _, t in texts]
+    pairs = [Counter(zip([None, *w], w, strict=False)) for w in split]
+    words = [Counter({**Counter(w), **({None: 1} if w else {})}) for w in split]
+    total = sum(map(len, split))
+    total_target = sum(len(w) for (i, _), w in zip(texts, split, strict=True) if i in targets)
+    distinct = len({x for w in split for x in w})
+    out = Counter()
+    for k, (i, _) in enumerate(texts):
+        means = []
+        for target in (True, False):
+            others = [j for j in range(len(texts)) if j != k and (not target or texts[j][0] in targets)]
+            scale = 1 if target else total_target / total
+            c1, c2 = sum((words[j] for j in others), Counter()), sum((pairs[j] for j in others), Counter())
+            n = scale * sum(len(split[j]) for j in others)
+            losses = []
+            for v, w in zip([None, *split[k]], split[k], strict=False):
+                top = scale * c2[v, w] + 4 * (scale * c1[w] + 1 / distinct) / (n + 1)
+                losses.append(-math.log(top / max(scale * c1[v] + 4, top)))
+            means.append(round(sum(losses) / len(losses), 9) if losses else None)
+        out[i, len(split[k]), *means] += 1
+    return out
+
+
+def test_losses_use_exact_counts_of_all_words_and_pairs(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(rng.randint(0, 60)))) for i in range(50)]
+    texts += [(90, None), (None, "w1 w2"), (1, "Once W2 once"), (1, "Once W2 once")]
+    targets = set(range(0, 50, 3)) | {1}
+    found = lm_scoring.cross_entropy_difference(documents(spark, texts), spark.createDataFrame([(i,) for i in targets], "doc_id long"), 500, 900).collect()
+    rounded = lambda x: None if x is None else round(x, 9)
+    assert Counter((r["doc_id"], r["n_tokens"], rounded(r["target_loss"]), rounded(r["background_loss"])) for r in found) == brute_losses(texts, targets)
+
+
 def test_without_targets_all_scores_are_zero(spark):
     docs = documents(spark, [(1, "a b c"), (2, "a a")])
     assert [r["score"] for r in lm_scoring.cross_entropy_difference(docs, docs.select("doc_id").limit(0), 16, 64).collect()] == [0.0, 0.0]

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from loamline.llm.common import ALNUM_TABLE, WordHashes, checkpoint, read_table, slices
 
-#: Slots of the hashed word table: the size of the model, and the bound of what is broadcast.
-WORD_SLOTS = 1 << 20
+#: Telling words that are broadcast at most, 16 bytes each; beyond, texts' words are joined to the counts by shuffle.
+BROADCAST_WORDS = 1_000_000
 #: Largest and least discount in counts of the toxic class; log ratio from which a token tells classes apart.
 DISCOUNT, LEAST_DISCOUNT, FLOOR = 10.0, 2.0, 2.5
 #: The calibration is fitted on the labelled rows of at most so many ids, those of smallest hash.
@@ -25,68 +25,99 @@ def fold(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3).cast("int")
 
 
-def _slots(hashes: WordHashes, text: str | None) -> np.ndarray:
-    words = hashes.of((text or "").encode("utf-8", "surrogatepass").translate(ALNUM_TABLE).split())
-    return (words % np.uint64(WORD_SLOTS)).astype(np.int64)
+def _words(hashes: WordHashes, text: str | None) -> np.ndarray:
+    """64-bit hashes of the words."""
+    return hashes.of((text or "").encode("utf-8", "surrogatepass").translate(ALNUM_TABLE).split()).view(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, n0, n1) of a task: how often each slot comes in ordinary and in toxic texts."""
-    hashes, counts = WordHashes(), np.zeros((2, WORD_SLOTS), np.int64)
+    """Rows (word, n0, n1) of a slice of texts: how often each word comes in ordinary and in toxic ones."""
+    hashes = WordHashes()
     for batch in slices(batches):
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            at, n = np.unique(_slots(hashes, text), return_counts=True)
-            counts[int(label == 1)][at] += n
-    at = np.flatnonzero(counts.sum(axis=0))
-    for i in range(0, len(at), 100_000):
-        part = at[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0][part]), pa.array(counts[1][part])], names=["word", "n0", "n1"])
+        words = [_words(hashes, t) for t in batch.column("text").to_pylist()]
+        toxic = np.repeat(np.array([x == 1 for x in batch.column("toxic").to_pylist()], bool), [len(w) for w in words])
+        keys, at = np.unique(np.concatenate(words), return_inverse=True)
+        n, n1 = np.bincount(at, minlength=len(keys)), np.bincount(at[toxic], minlength=len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n - n1), pa.array(n1)], names=["word", "n0", "n1"])
 
 
 class ClassModels:
-    """log P(w | toxic) - log P(w | ordinary) of tokens, where it is large.
+    """log P(w | toxic) - log P(w | ordinary) of words, where it is large.
 
     A class's model: absolute discounts from its counts, as Kneser and Ney take them, and the discounted mass spread by
     backoff counts that both classes share. The discount is the same share of either class's tokens, ``DISCOUNT`` counts
     in the toxic class (less where it has few tokens), so rare expressions of both are left to the shared counts and
-    don't tell the classes apart. A token's ratio under ``FLOOR`` is chance and counts as none.
+    don't tell the classes apart. A word's ratio under ``FLOOR`` is chance and counts as none.
     """
 
-    def __init__(self, words: np.ndarray):
-        self.totals = np.maximum(words.sum(axis=1), 1.0)
+    def __init__(self, counts: DataFrame):
+        """counts: word, n0, n1 of each distinct word."""
+        self.counts = counts
+        sums = counts.agg(F.sum("n0"), F.sum("n1"), F.count(F.lit(1))).first()
+        self.totals, self.distinct = [float(max(x or 0, 1)) for x in sums[:2]], sums[2]
         discount = min(DISCOUNT, max(LEAST_DISCOUNT, self.totals[1] / 36_000))
-        self.discounts = discount * self.totals / self.totals[1]
-        self.words = words.astype(np.float32)
-        self.shared = ((words.sum(axis=0) + 0.5) / (words.sum() + 0.5 * words.shape[1])).astype(np.float32)
-        self.backoff = [self.totals[c] - np.maximum(words[c] - self.discounts[c], 0).sum() for c in range(2)]
-
-    def ratio(self, word: np.ndarray, own: int | None = None) -> np.ndarray:
-        """own: the class that this text was counted in, so its own counts go out."""
-        logs = []
-        for c in range(2):
-            counts = self.words[c][word]
-            if c == own:
-                _, where, times = np.unique(word, return_inverse=True, return_counts=True)
-                counts = counts - times[where]
-            logs.append(np.log((np.maximum(counts - self.discounts[c], 0) + self.backoff[c] * self.shared[word]) / self.totals[c]))
+        self.discounts = [discount * t / self.totals[1] for t in self.totals]
+        left = counts.agg(*[F.sum(F.greatest(F.col(f"n{c}") - self.discounts[c], F.lit(0.0))) for c in range(2)]).first()
+        self.backoff = [self.totals[c] - (left[c] or 0.0) for c in range(2)]
+
+    def ratio(self, n0: Column, n1: Column, own0: Column | int = 0, own1: Column | int = 0) -> Column:
+        """In units of 1e-9, so sums are exact; own: counts of the text itself, which go out."""
+        shared = (n0 + n1 + 0.5) / (sum(self.totals) + 0.5 * max(self.distinct, 1))
+        logs = [
+            F.log((F.greatest(n - own - self.discounts[c], F.lit(0.0)) + self.backoff[c] * shared) / self.totals[c])
+            for c, (n, own) in enumerate(((n0, own0), (n1, own1)))
+        ]
         ratio = logs[1] - logs[0]
-        return np.where(ratio > FLOOR, ratio, 0)
-
-
-def _features(models):
+        return F.when(ratio > FLOOR, F.round(ratio * 1e9).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    def joined(self, texts: DataFrame) -> DataFrame:
+        """doc_id, toxic, mean, root of each row of doc_id, text, toxic by a join with all counts; a text that is labelled
+        was counted, so its own counts go out."""
+        rows = texts.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_listed, "uid long, doc_id long, toxic int, word long, times long, size long")
+        n0, n1 = F.coalesce("n0", F.lit(0)), F.coalesce("n1", F.lit(0))
+        own = [F.when(F.col("toxic") == c, F.col("times")).otherwise(0) for c in range(2)]
+        sums = rows.join(self.counts, "word", "left").groupBy("uid", "doc_id", "toxic", "size").agg(F.sum(self.ratio(n0, n1, *own) * F.col("times")).alias("total"))
+        total, size = F.col("total") / 1e9, F.greatest(F.col("size"), F.lit(1))
+        return sums.select("doc_id", "toxic", (total / size).alias("mean"), (total / F.sqrt(size)).alias("root"))
+
+    def features(self, docs: DataFrame, broadcast_words: int) -> DataFrame:
+        """doc_id, mean, root of each row, none of them taken as counted."""
+        telling = checkpoint(self.counts.select("word", self.ratio(F.col("n0"), F.col("n1")).alias("ratio")).where("ratio > 0"))
+        unseen = self.backoff[1] / self.totals[1] / (self.backoff[0] / self.totals[0])
+        if telling.count() > broadcast_words or np.log(unseen) > FLOOR:
+            return self.joined(docs.select("doc_id", "text", F.lit(None).cast("int").alias("toxic"))).drop("toxic")
+        table = telling.toArrow()  # broadcast_words rows at most
+        word, ratio = table.column("word").to_numpy(), table.column("ratio").to_numpy()
+        order = np.argsort(word)
+        held = docs.sparkSession.sparkContext.broadcast((word[order], ratio[order]))
+        return docs.select("doc_id", "text").mapInArrow(_features(held), "doc_id long, mean double, root double")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct word of each text, with its number there; of a text without words one row without a word."""
+    hashes, none = WordHashes(), np.zeros(1, np.int64)
+    for batch in slices(batches, most_bytes=1_000_000):
+        words = [_words(hashes, t) for t in batch.column("text").to_pylist()]
+        found = [np.unique(w, return_counts=True) if len(w) else (none, none) for w in words]
+        of = pa.array(np.repeat(np.arange(len(words)), [len(k) for k, _ in found]))
+        times = np.concatenate([n for _, n in found])
+        key = pa.array(np.concatenate([k for k, _ in found]), pa.int64(), mask=times == 0)
+        sizes = pa.array([len(w) for w in words], pa.int64())
+        columns = [*(batch.column(c).take(of) for c in ("uid", "doc_id", "toxic")), key, pa.array(times, pa.int64()), sizes.take(of)]
+        yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "toxic", "word", "times", "size"])
+
+
+def _features(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, (known, ratio) = WordHashes(), held.value
         for batch in slices(batches):
-            mean, root = [], []
-            own = batch.column("toxic").to_pylist() if "toxic" in batch.schema.names else [None] * batch.num_rows
-            for text, label in zip(batch.column("text").to_pylist(), own, strict=True):
-                word = _slots(hashes, text)
-                total = float(models.value.ratio(word, None if label is None else int(label == 1)).sum()) if len(word) else 0.0
-                mean.append(total / max(len(word), 1))
-                root.append(total / max(len(word), 1) ** 0.5)
-            others = [batch.column(k) for k in batch.schema.names if k != "text"]
-            names = [k for k in batch.schema.names if k != "text"]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(mean, pa.float64()), pa.array(root, pa.float64())], names=[*names, "mean", "root"])
+            words = [_words(hashes, t) for t in batch.column("text").to_pylist()]
+            size, every = np.array([len(w) for w in words]), np.concatenate(words)
+            at = np.minimum(np.searchsorted(known, every), max(len(known) - 1, 0))
+            values = np.where(known[at] == every, ratio[at], 0) if len(known) else np.zeros(len(every), np.int64)
+            total = np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(size)])]) / 1e9
+            size = np.maximum(size, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total / size), pa.array(total / np.sqrt(size))], names=["doc_id", "mean", "root"])
 
     return run
 
@@ -105,10 +136,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS, threshold: float = THRESHOLD, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs``.
 
-    Only labelled rows outside the held-out fold (crc32 of the id as text, modulo 3, is 1) are learned from. All of them
+    Words are counted exactly, by 64-bit hashes. Those whose ratio counts are broadcast if they are few enough; else the
+    words of all texts are shuffled to the counts. Only labelled rows outside the held-out fold (crc32 of the id as text, modulo 3, is 1) are learned from. All of them
     give their word counts. Those of the ``calibration_rows`` ids of smallest hash, each scored without its own
     counts, give a logistic calibration of the two length-normalised log ratios (by the number of words, and by its
     root) to a probability. Only words are read; labels, lang, source and doc_id aren't inputs of a score.
@@ -124,15 +156,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, calibration_rows: int = C
     known = docs.select("doc_id", "text").join(F.broadcast(marks) if few else marks, F.col("doc_id") == F.col("l_id"))
 
     counted = known.select("text", "toxic").mapInArrow(_count, "word long, n0 long, n1 long").groupBy("word")
-    counted = counted.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # WORD_SLOTS rows at most
-    words = np.zeros((2, WORD_SLOTS))
-    for c in range(2):
-        words[c][counted.column("word").to_numpy()] = counted.column(f"n{c}").to_numpy()
-    models = spark.sparkContext.broadcast(ClassModels(words))
+    models = ClassModels(checkpoint(counted.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))))
 
     some = marks.orderBy(F.xxhash64("l_id"), "l_id").limit(calibration_rows)
     fitted = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("l_id"))
-    fitted = fitted.select("text", "toxic").mapInArrow(_features(models), "toxic int, mean double, root double").toArrow()
+    fitted = models.joined(fitted.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic"))).toArrow()
     y = fitted.column("toxic").to_numpy().astype(float)
     if len(y) and 0 < y.mean() < 1:
         weights = fit_logistic(np.column_stack([fitted.column("mean").to_numpy(), fitted.column("root").to_numpy()]), y)
@@ -140,7 +168,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, calibration_rows: int = C
         score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
     else:
         score = F.lit(float(y.mean()) if len(y) else 0.0)
-    rows = docs.select("doc_id", "text").mapInArrow(_features(models), "doc_id long, mean double, root double")
+    rows = models.features(docs, broadcast_words)
     rows = rows.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), F.round(score, 6).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

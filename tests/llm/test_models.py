@@ -2,13 +2,14 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 
 from loamline.llm import lm_scoring, toxicity
-from loamline.llm.common import most_frequent
+from loamline.llm.common import WordHashes, most_frequent
 
 DOC = "doc_id long, text string, lang string, source string, word string, n long, mean double, target boolean"
 LABEL = "doc_id long, quality int, toxic int, text string"
@@ -126,6 +127,22 @@ def test_held_out_labels_change_no_score(spark):
     assert a == b
 
 
+def test_words_share_no_counts_and_the_join_gives_the_same_scores(spark):
+    hashes, seen, pair = WordHashes(), {}, None
+    for i in range(20_000):  # two words that a table of 2**20 slots takes for one
+        word = f"word{i}"
+        pair = (word, seen[at]) if (at := hashes[word.encode()] % (1 << 20)) in seen else pair
+        seen[at] = word
+    texts, labels = toxic_corpus(400)
+    swap = lambda t: re.sub("nasty|vile|Awful!", pair[0], t).replace("word1 ", f"{pair[1]} ").replace("word2 ", f"{pair[1]} ")
+    texts = [(i, swap(t)) for i, t in texts] + [(7000, None), (None, "")]
+    truth = {i: t for i, _, t, _ in labels}
+    a, b = ({r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score_toxicity(documents(spark, texts), spark.createDataFrame(labels, LABEL), **k).collect()} for k in ({}, {"broadcast_words": 0}))
+    held = [a[i][1] == truth[i] for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(held) / len(held) > 0.95
+    assert a == b
+
+
 def test_without_labels(spark):
     docs = documents(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], LABEL)

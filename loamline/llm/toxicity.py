@@ -13,8 +13,8 @@ from loamline.llm.common import ALNUM_TABLE, WordHashes, checkpoint, read_table,
 
 #: Telling words that are broadcast at most, 16 bytes each; beyond, texts' words are joined to the counts by shuffle.
 BROADCAST_WORDS = 1_000_000
-#: Largest and least discount in counts of the toxic class; log ratio from which a token tells classes apart.
-DISCOUNT, LEAST_DISCOUNT, FLOOR = 10.0, 2.0, 2.5
+#: Log ratio from which a token tells classes apart.
+FLOOR = 2.5
 #: The calibration is fitted on the labelled rows of at most so many ids, those of smallest hash.
 CALIBRATION_ROWS = 20_000
 #: From this score on a document is predicted toxic.
@@ -45,17 +45,18 @@ class ClassModels:
     """log P(w | toxic) - log P(w | ordinary) of words, where it is large.
 
     A class's model: absolute discounts from its counts, as Kneser and Ney take them, and the discounted mass spread by
-    backoff counts that both classes share. The discount is the same share of either class's tokens, ``DISCOUNT`` counts
-    in the toxic class (less where it has few tokens), so rare expressions of both are left to the shared counts and
-    don't tell the classes apart. A word's ratio under ``FLOOR`` is chance and counts as none.
+    backoff counts that both classes share. The discount is Kneser and Ney's n1 / (n1 + 2 n2), by the numbers of words
+    that come once and twice in toxic texts (1 is added to each; 0.5 where there are none), and the same share of
+    either class's tokens. A word's ratio under ``FLOOR`` is chance and counts as none.
     """
 
     def __init__(self, counts: DataFrame):
         """counts: word, n0, n1 of each distinct word."""
         self.counts = counts
-        sums = counts.agg(F.sum("n0"), F.sum("n1"), F.count(F.lit(1))).first()
+        sums = counts.agg(F.sum("n0"), F.sum("n1"), F.count(F.lit(1)), F.count_if(F.col("n1") == 1), F.count_if(F.col("n1") == 2)).first()
         self.totals, self.distinct = [float(max(x or 0, 1)) for x in sums[:2]], sums[2]
-        discount = min(DISCOUNT, max(LEAST_DISCOUNT, self.totals[1] / 36_000))
+        once, twice = (x + 1 for x in sums[3:])
+        discount = once / (once + 2 * twice) if sums[3] + sums[4] else 0.5
         self.discounts = [discount * t / self.totals[1] for t in self.totals]
         left = counts.agg(*[F.sum(F.greatest(F.col(f"n{c}") - self.discounts[c], F.lit(0.0))) for c in range(2)]).first()
         self.backoff = [self.totals[c] - (left[c] or 0.0) for c in range(2)]

@@ -143,6 +143,14 @@ def test_words_share_no_counts_and_the_join_gives_the_same_scores(spark):
     assert a == b
 
 
+def test_one_discount_below_one_at_every_size(spark):
+    for size in (1, 1000):
+        rare = [(f"r{i}", 0, 1 + i % 2) for i in range(30)]
+        counts = [*rare, ("seen", 9, 5 * size), ("plain", 500 * size, 300 * size)]
+        models = toxicity.ClassModels(spark.createDataFrame([(i, a, b) for i, (_, a, b) in enumerate(counts)], "word long, n0 long, n1 long"))
+        assert models.discounts[1] == 16 / (16 + 32)
+
+
 def test_without_labels(spark):
     docs = documents(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], LABEL)

@@ -45,7 +45,8 @@ def tokens(raw: Column) -> Column:
 
 def headers(raw: Column) -> Column:
     """Header fields as a map: names keep their case, the last of equal names counts, lines without a colon are skipped."""
-    lines = F.slice(F.split(head(raw), "\n"), 2, 1 << 20)
+    lines = F.split(head(raw), "\n")
+    lines = F.slice(lines, 2, F.size(lines))
     lines = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, "\r$", "")), lambda x: F.instr(x, F.lit(":")) > 0)
     fields = F.transform(
         lines,
@@ -72,13 +73,18 @@ def request_error(raw: Column) -> Column:
 
 
 def parse_requests(messages: DataFrame, raw: str = "raw") -> DataFrame:
-    """All columns and method, path, version, headers, body, valid, error. A null message is an empty one."""
+    """All columns and method, path, version, headers, body, valid, error. A null message is an empty one.
+
+    An invalid message has no headers and no body; if its head or its length is at fault, no request line either.
+    """
     text = F.coalesce(F.col(raw), F.lit(""))
     word = lambda i: F.coalesce(F.get(tokens(text), F.lit(i)), F.lit(""))
     error = request_error(text)
+    line = lambda i: F.when(error.isin("", BAD_LINE, BAD_VERSION), word(i)).otherwise("")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return messages.select(
-        "*", word(0).alias("method"), word(1).alias("path"), word(2).alias("version"), headers(text).alias("headers"),
-        body(text).alias("body"), (error == "").alias("valid"), error.alias("error"),
+        "*", line(0).alias("method"), line(1).alias("path"), line(2).alias("version"), F.when(error == "", headers(text)).otherwise(none).alias("headers"),
+        F.when(error == "", body(text)).otherwise("").alias("body"), (error == "").alias("valid"), error.alias("error"),
     )
 
 

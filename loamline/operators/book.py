@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.operators.reports import numbered
+
 
 def add_orders(orders: DataFrame, new: DataFrame) -> DataFrame:
     return orders.unionByName(new)
@@ -29,10 +31,24 @@ def asks(levels: DataFrame) -> DataFrame:
     return levels.where("side = 'Sell'").orderBy("price")
 
 
+def sides(levels: DataFrame) -> DataFrame:
+    """All levels with their place on their side: bids from the highest price, asks from the lowest."""
+    bid = F.col("side") == "Buy"
+    return _places(levels, F.when(bid, -F.col("price")).otherwise(F.col("price")), by=["side"])
+
+
+def _places(rows: DataFrame, *order, by: list[str]) -> DataFrame:
+    """Places from 1 inside groups, by places in the whole table less the group's first: a group of any size is spread
+    over tasks, and its first place comes from partial minimums."""
+    placed = numbered(rows, *by, *order, name="_all")
+    first = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_all").alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return placed.join(first, same).select(*rows.columns, (F.col("_all") - F.col("_first") + 1).alias("place"))
+
+
 def fifo(orders: DataFrame, *arrival: str) -> DataFrame:
     """The place of each order in its level, first come first."""
-    level = Window.partitionBy("side", "price").orderBy(*(arrival or ("seq",)))
-    return orders.withColumn("place", F.row_number().over(level).cast("long"))
+    return _places(orders, *(arrival or ("seq",)), by=["side", "price"])
 
 
 def nested_levels(orders: DataFrame) -> DataFrame:

@@ -79,6 +79,13 @@ def or_message(rows: DataFrame, message: str = "No matching tasks found.") -> Da
     return rows.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(message).alias("message"))
 
 
+def filter_message(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """What a filter of tasks says besides its rows: that the table is empty, that nothing matches, or nothing at all."""
+    empty = or_message(table, "No tasks available.")
+    unmatched = or_message(rows).join(F.broadcast(table.limit(1).select(F.lit(1).alias("_some")))).drop("_some")  # one row at most
+    return empty.unionByName(unmatched)
+
+
 def head(rows: DataFrame, *order: str, n: int = 5) -> DataFrame:
     """The first rows in an order, by partial top lists."""
     return rows.orderBy(*order).limit(n)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.functions.text import priority_from_input, priority_from_label, product_verdict, task_verdict
+from loamline.functions.text import integer_input, priority_from_input, priority_from_label, product_verdict, task_verdict
 
 #: Rows of one insert at most.
 BATCH_ROWS = 10
@@ -30,6 +30,20 @@ def first_by_id(table: DataFrame, value, key: str = "id", seq: str = "seq") -> D
     return by_id(table, value, key).orderBy(seq).limit(1)
 
 
+def lookup(table: DataFrame, asked: DataFrame, what: str = "Product", key: str = "id") -> DataFrame:
+    """Each row of ``asked`` (a text column ``asked``) with the rows of its id and an outcome.
+
+    Outcomes in order: the table is empty, the text is no whole number, no row has that id, found. Without a row the
+    table's columns are null.
+    """
+    some = F.broadcast(table.limit(1).agg((F.count(F.lit(1)) > 0).alias("_some")))  # one row
+    rows = table.withColumn("_id", F.col(key)).withColumn("_found", F.lit(True))
+    joined = asked.select("asked").withColumn("_asked", integer_input(F.col("asked")).cast("long")).join(some).join(rows, F.col("_asked") == F.col("_id"), "left")
+    outcome = F.when(~F.col("_some"), f"No {what.lower()}s available.").when(F.col("_asked").isNull(), "Please enter a valid number.")
+    outcome = outcome.when(F.col("_found").isNull(), f"{what} ID not found.").otherwise("found")
+    return joined.select("asked", *table.columns, outcome.alias("outcome"))
+
+
 def latest_by_key(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """Of each key the row of largest seq: a map's insert-or-replace over a log of changes.
 
@@ -56,9 +70,11 @@ def check_batch(rows: DataFrame, limit: int = BATCH_ROWS) -> DataFrame:
 def insert(table: DataFrame, rows: DataFrame, verdict: Column, arrival: str, key: str = "id", first_id: int = 1) -> DataFrame:
     """The table with the rows whose verdict is ok, given the next ids in order of ``arrival``.
 
-    An insert is a batch of a few rows (``check_batch``), so numbering them in one task is bounded.
+    An insert is a batch of 1 to ``BATCH_ROWS`` rows; a larger one is refused whole and changes nothing. So numbering a
+    batch in one task is bounded.
     """
-    good = rows.where(verdict == "ok")
+    accepted = F.broadcast(check_batch(rows).where("accepted").select("accepted"))  # one row, or none
+    good = rows.limit(BATCH_ROWS + 1).where(verdict == "ok").join(accepted).drop("accepted")
     start = F.broadcast(next_id(table, key, first_id).select("next_id"))  # one row
     numbered = good.withColumn("_n", F.row_number().over(Window.orderBy(arrival)) - 1).join(start)
     numbered = numbered.withColumn(key, (F.col("next_id") + F.col("_n")).cast(table.schema[key].dataType))

@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.functions import http
-from loamline.functions.text import priority_rank, product_verdict, status_mark
+from loamline.functions.text import double_input, integer_input, priority_from_input, priority_from_label, priority_label, priority_rank, product_verdict, status_mark, task_verdict
 from loamline.operators import book, reports, tables
-from loamline.sources.json_tables import json_rows
+from loamline.plans.lineage import checkpoint, remove, shared_folder
+from loamline.sources import json_tables
+from loamline.sources.chat import until_quit
 from loamline.sources.prices import load_history
 from loamline.streaming.book import depth_of_files
+from loamline.streaming.chat import sent_from_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,7 +99,64 @@ def product_insert(spark, sf_dir):
 
 
 def product_json(spark, sf_dir):
-    return json_rows(products(spark, sf_dir), "id", "name")
+    return json_tables.json_rows(products(spark, sf_dir), "id", "name")
+
+
+def _scratch(spark):
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+
+
+def _kept(spark, folder, rows):
+    """The rows in a checkpoint, and the folder that they were read from gone."""
+    rows = checkpoint(rows)
+    remove(spark, folder)
+    return rows
+
+
+def product_snapshot(spark, sf_dir):
+    """Load from a missing file, save, load, change, save over what is read, load."""
+    folder = _scratch(spark)
+    load = lambda: json_tables.load_products(spark, json_tables.latest_version(spark, folder))
+    json_tables.save_version(tables.upsert(load(), products(spark, sf_dir)), folder)
+    json_tables.save_version(tables.delete(load(), load().where("id % 4 = 0").select("id")), folder)
+    return _kept(spark, folder, load())
+
+
+def task_snapshot(spark, sf_dir):
+    """Tasks saved in list order, here by descending id, and loaded again with their places in the list."""
+    folder = _scratch(spark)
+    listed = _titled(spark, sf_dir).withColumn("seq", -F.col("id"))
+    json_tables.save_tasks(listed, folder)
+    return _kept(spark, folder, reports.numbered(json_tables.load_tasks(spark, folder), "seq").select("id", "title", "priority", "completed", "place"))
+
+
+def product_lookup(spark, sf_dir):
+    everything = products(spark, sf_dir)
+    asked = everything.select(F.when(F.col("id") % 3 == 0, F.concat(F.lit("no "), "id")).otherwise((F.col("id") * 2).cast("string")).alias("asked"))
+    return tables.lookup(everything, asked)
+
+
+def product_lookup_empty(spark, sf_dir):
+    everything = products(spark, sf_dir)
+    return tables.lookup(tables.cleared(everything), everything.select(F.col("id").cast("string").alias("asked"))).select("asked", "id", "outcome")
+
+
+def product_clear(spark, sf_dir):
+    return tables.cleared(products(spark, sf_dir))
+
+
+def product_insert_refused(spark, sf_dir):
+    everything = products(spark, sf_dir)
+    new = everything.where("id <= 11").select(F.col("id").alias("arrival"), "name", "quantity", "price")
+    return tables.insert_products(everything, new)
+
+
+def number_inputs(spark, sf_dir):
+    kind = F.col("id") % 5
+    text = F.when(kind == 0, F.col("quantity").cast("string")).when(kind == 1, F.concat(F.lit(" "), "quantity", F.lit(" "))).when(kind == 2, "12abc").when(kind == 3, "").otherwise(F.col("price").cast("string"))
+    given = products(spark, sf_dir).select("id", text.alias("given"), (kind != 4).alias("whole"))
+    whole = lambda *bounds: F.when(F.col("whole"), integer_input(F.col("given"), *bounds)).cast("long")
+    return given.select("id", whole().alias("number"), whole(1, 25).alias("bounded"), double_input(F.col("given")).alias("real"))
 
 
 def next_id(spark, sf_dir):
@@ -113,8 +173,51 @@ def task_by_priority(spark, sf_dir):
 
 
 def task_list(spark, sf_dir):
-    titled = tasks(spark, sf_dir).withColumn("title", F.concat(F.lit("order "), F.col("id"))).withColumn("description", F.lit(""))
-    return reports.task_list(titled)
+    return reports.task_list(_titled(spark, sf_dir))
+
+
+def _titled(spark, sf_dir):
+    return tasks(spark, sf_dir).withColumn("title", F.concat(F.lit("order "), F.col("id"))).withColumn("description", F.lit(""))
+
+
+def task_short_list(spark, sf_dir):
+    return reports.task_short_list(_titled(spark, sf_dir))
+
+
+def task_insert(spark, sf_dir):
+    """Ten new tasks, of which those without a title are skipped."""
+    level = F.element_at(F.array(*map(F.lit, ["low", "High", "HIGH", "urgent"])), (F.col("id") % 4 + 1).cast("int"))
+    title = F.when(F.col("id") % 5 == 0, "").otherwise(F.concat(F.lit("new "), "name"))
+    new = products(spark, sf_dir).where("id between 1 and 10").select(F.col("id").alias("arrival"), title.alias("title"), F.lit("").alias("description"), level.alias("priority"))
+    return tables.insert_tasks(_titled(spark, sf_dir), new)
+
+
+def task_verdicts(spark, sf_dir):
+    rows = products(spark, sf_dir).withColumn("title", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("name"))).withColumn("description", F.when(F.col("id") % 3 == 0, "").otherwise("d"))
+    rows = rows.withColumn("priority", F.when(F.col("id") % 7 == 0, "urgent").otherwise("mEDIUM"))
+    verdict = lambda editing: task_verdict(F.col("title"), F.col("description"), F.col("priority"), editing=editing)
+    return rows.select("id", verdict(False).alias("inserting"), verdict(True).alias("editing"))
+
+
+def filter_messages(spark, sf_dir):
+    """What filters say: with matches nothing, without a match, and on an empty table."""
+    listed = _titled(spark, sf_dir)
+    empty = tables.cleared(listed)
+    cases = {
+        "some": reports.filter_message(listed, reports.tasks_by_priority(listed, "High")),
+        "none": reports.filter_message(listed, reports.search_titles(listed, "no such title")),
+        "empty keyword": reports.filter_message(listed, reports.search_titles(listed, "")),
+        "empty table": reports.filter_message(empty, reports.tasks_by_status(empty, True)),
+    }
+    said = [rows.select(F.lit(case).alias("case"), "message") for case, rows in cases.items()]
+    return said[0].unionByName(said[1]).unionByName(said[2]).unionByName(said[3])
+
+
+def priority_labels(spark, sf_dir):
+    given = F.element_at(F.array(*[F.lit(x) for x in ("low", "Low", "LOW", "High", "hIGH", "urgent", None)]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), given.alias("given"))
+    rank = priority_rank(priority_from_label(F.col("given")))
+    return rows.select("id", priority_from_label(F.col("given")).alias("stored"), priority_from_input(F.col("given")).alias("edited"), rank.cast("long").alias("rank"), priority_label(F.col("id") % 5).alias("label"))
 
 
 def task_edit(spark, sf_dir):
@@ -141,10 +244,19 @@ def task_reopen(spark, sf_dir):
 
 
 def task_delete_first(spark, sf_dir):
-    lines = _table(spark, sf_dir, "lineitem")
-    seq = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    listed = lines.select(F.col("l_orderkey").alias("id"), F.xxhash64(*seq).alias("seq")).distinct()
-    return tables.delete_first(listed, listed.where("id % 2 = 0").select("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_left"))
+    listed = _lines(spark, sf_dir)
+    return tables.delete_first(listed, listed.where("id % 2 = 0").select("id"))
+
+
+def task_first_by_id(spark, sf_dir):
+    return tables.first_by_id(_lines(spark, sf_dir), 7)
+
+
+def _lines(spark, sf_dir):
+    """Order lines as a list in which ids come more than once; seq is line, part and supplier, in this order."""
+    seq = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), seq.alias("seq")).distinct()
+    return lines.select("id", F.format_string("%d %010d %010d", "seq.line", "seq.part", "seq.supplier").alias("seq"))
 
 
 def title_search(spark, sf_dir):
@@ -159,8 +271,42 @@ def book_fifo(spark, sf_dir):
     return book.fifo(as_orders(_table(spark, sf_dir, "events")), "ts", "id").select("id", "side", "price", "place")
 
 
+def book_sides(spark, sf_dir):
+    return book.sides(book.depth(as_orders(_table(spark, sf_dir, "events"))))
+
+
+def book_add(spark, sf_dir):
+    """The depth after orders of doubled quantity come in for every tenth one."""
+    orders = as_orders(_table(spark, sf_dir, "events"))
+    return book.depth(book.add_orders(orders, orders.where("id % 10 = 0").withColumn("quantity", 2 * F.col("quantity"))))
+
+
 def book_stream(spark, sf_dir):
-    return depth_of_files(spark, sf_dir, "events.parquet", as_orders, f"book_{uuid.uuid4().hex}")
+    folder = _scratch(spark)
+    return _kept(spark, folder, depth_of_files(spark, sf_dir, "events.parquet", as_orders, folder))
+
+
+def _said(talks: DataFrame) -> DataFrame:
+    """Messages of which every fifth of a role ends its talk."""
+    return talks.select(F.col("conv_id").cast("string").alias("talk"), F.col("turn").alias("seq"), F.when((F.col("conv_id") + F.col("turn")) % 5 == 4, "quit").otherwise(F.col("text")).alias("value"))
+
+
+def chat_until_quit(spark, sf_dir):
+    """All conversations as one talk, in the order of conversation and turn, that a late message ends."""
+    talks = _table(spark, sf_dir, "conversations")
+    last = F.broadcast(talks.agg(F.floor(F.max("conv_id") / 2).alias("last")))
+    said = talks.join(last).select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.when((F.col("conv_id") >= F.col("last")) & (F.col("turn") == 1), "quit").otherwise(F.col("text")).alias("value"))
+    return until_quit(said, "seq").select("conv_id", "turn", "value")
+
+
+def chat_stream(spark, sf_dir):
+    folder = _scratch(spark)
+    return _kept(spark, folder, sent_from_files(spark, sf_dir, "conversations.parquet", _said, folder))
+
+
+def history_of_symbol(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_totalprice", F.col("o_orderpriority").alias("symbol"))
+    return load_history(orders, "1995-01-01", "1996-01-01", "o_orderdate", "1-URGENT")
 
 
 def http_parse(spark, sf_dir):
@@ -187,7 +333,31 @@ def http_errors(spark, sf_dir):
     line = F.when(kind == 1, "GET / HTTP/2.0").when(kind == 2, "GET /").otherwise("GET /about HTTP/1.0")
     length = F.when(kind == 3, "x").when(kind == 4, "1048577").otherwise("0")
     raw = F.concat(line, F.lit("\r\nContent-Length: "), length, F.lit("\r\n\r\n"))
-    return http.handle(pages.select("page_id", raw.alias("raw"))).select("page_id", "valid", "error", "route", "status")
+    return http.handle(pages.select("page_id", raw.alias("raw"))).select("page_id", "valid", "error", "route", "status", "response")
+
+
+def http_cases(spark, sf_dir):
+    """Messages of eight shapes from raw text to answer: valid ones of three routes, too long a head, a line of two words,
+    an unknown version, a negative length, and a first length that is no number."""
+    talks = _table(spark, sf_dir, "conversations")
+    kind, sent = (F.col("conv_id") + F.col("turn")) % 8, F.concat(F.lit("\r\n\r\n"), F.col("text"))
+    field = lambda line, *fields: F.concat(F.lit("\r\n".join([line, *fields])), sent)
+    raw = (
+        F.when(kind == 0, field("GET / HTTP/1.0", "A: 1", "a:2", "A:  3"))
+        .when(kind == 1, field("GET /?q=1 HTTP/1.1"))
+        .when(kind == 2, field("POST /message HTTP/1.1", "no colon", ": empty name"))
+        .when(kind == 3, field("GET / HTTP/1.1", "X: " + "y" * 8200))
+        .when(kind == 4, F.lit("GET /about\r\n\r\n"))
+        .when(kind == 5, field("GET / HTTP/1.2"))
+        .when(kind == 6, field("GET / HTTP/1.1", "Content-Length: -1"))
+        .otherwise(field("GET / HTTP/1.1", "Content-Length: abc", "Content-Length: 5"))
+    )
+    found = http.handle(talks.select("conv_id", "turn", raw.alias("raw")))
+    value = lambda k: F.element_at("headers", k)
+    return found.select(
+        "conv_id", "turn", "method", "path", "version", value("A").alias("upper"), value("a").alias("lower"), value("").alias("unnamed"), F.size("headers").cast("long").alias("n_headers"),
+        "body", "valid", "error", "route", "response",
+    )
 
 
 def http_response(spark, sf_dir):
@@ -204,7 +374,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         inventory_value, low_stock, product_by_id, product_list, product_verdicts, product_upsert, product_edit, product_delete, product_insert,
-        product_json, next_id, task_by_status, task_by_priority, task_list, task_edit, task_sort_id, task_sort_priority, task_complete, task_reopen, task_delete_first,
+        product_insert_refused, product_lookup, product_lookup_empty, product_clear, product_snapshot, number_inputs, task_snapshot, task_short_list, task_insert, task_verdicts,
+        filter_messages, priority_labels, task_first_by_id, book_sides, book_add, chat_until_quit, chat_stream, history_of_symbol, http_cases, product_json, next_id, task_by_status, task_by_priority, task_list, task_edit, task_sort_id, task_sort_priority, task_complete, task_reopen, task_delete_first,
         title_search, book_depth, book_fifo, book_stream, http_parse, http_route, http_errors, http_response, range_head,
     )
 }
@@ -215,6 +386,10 @@ _RANK = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 3 WHEN o_order
 _TASK = f"SELECT o_orderkey AS id, {_PRIORITY} AS priority, o_orderstatus = 'F' AS completed FROM orders"
 _ORDER = "SELECT event_id AS id, ts, CASE WHEN event_type IN ('click', 'purchase') THEN 'Buy' ELSE 'Sell' END AS side, CAST(floor(value) AS BIGINT) AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS quantity FROM events"
 _DEPTH = f"SELECT side, price, CAST(sum(quantity) AS BIGINT) AS quantity, count(*) AS n_orders FROM ({_ORDER}) GROUP BY side, price"
+_TITLED = f"SELECT id, priority, completed, concat('order ', id) AS title, '' AS description FROM ({_TASK})"
+_LINES = "SELECT DISTINCT l_orderkey AS id, printf('%d %010d %010d', l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem"
+_NEXT_TASK = "(SELECT max(o_orderkey) FROM orders)"
+_ANSWER = "concat('HTTP/1.1 ', status, chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), 'Content-Length: ', strlen(sent), chr(13), chr(10), 'Connection: close', chr(13), chr(10), chr(13), chr(10), sent) AS response"
 _SET = "SELECT id, priority, CASE WHEN id % 10 = 0 THEN {to} ELSE completed END AS completed, CASE WHEN id % 10 <> 0 THEN 'untouched' WHEN completed = {to} THEN 'already' ELSE '{done}' END AS outcome FROM ({task})"
 
 ORACLE_SQL = {
@@ -237,14 +412,42 @@ ORACLE_SQL = {
     "task_sort_priority": f"SELECT o_orderkey AS id, {_PRIORITY} AS priority, o_orderstatus = 'F' AS completed, row_number() OVER (ORDER BY {_RANK} DESC, o_orderkey) AS place FROM orders",
     "task_complete": _SET.format(to="TRUE", done="completed", task=_TASK),
     "task_reopen": _SET.format(to="FALSE", done="reopened", task=_TASK),
-    "task_delete_first": "SELECT id, n_left FROM (SELECT l_orderkey AS id, count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity)) - CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END AS n_left FROM lineitem GROUP BY l_orderkey) WHERE n_left > 0",
+    "task_delete_first": f"SELECT id, seq FROM ({_LINES}) QUALIFY id % 2 = 1 OR row_number() OVER (PARTITION BY id ORDER BY seq) > 1",
+    "task_first_by_id": f"SELECT id, min(seq) AS seq FROM ({_LINES}) WHERE id = 7 GROUP BY id",
+    "product_snapshot": f"SELECT * FROM ({_PRODUCT}) WHERE id % 4 <> 0",
+    "task_snapshot": f"SELECT id, title, priority, completed, row_number() OVER (ORDER BY id DESC) AS place FROM ({_TITLED})",
+    "product_lookup": f"WITH p AS ({_PRODUCT}), a AS (SELECT CASE WHEN id % 3 = 0 THEN concat('no ', id) ELSE CAST(id * 2 AS VARCHAR) END AS asked, CASE WHEN id % 3 <> 0 THEN id * 2 END AS k FROM p) SELECT asked, p.*, CASE WHEN k IS NULL THEN 'Please enter a valid number.' WHEN id IS NULL THEN 'Product ID not found.' ELSE 'found' END AS outcome FROM a LEFT JOIN p ON id = k",
+    "product_lookup_empty": "SELECT CAST(p_partkey AS VARCHAR) AS asked, CAST(NULL AS BIGINT) AS id, 'No products available.' AS outcome FROM part",
+    "product_clear": f"SELECT * FROM ({_PRODUCT}) WHERE FALSE",
+    "product_insert_refused": _PRODUCT,
+    "number_inputs": f"SELECT id, CASE WHEN id % 5 < 2 THEN CAST(quantity AS BIGINT) END AS number, CASE WHEN id % 5 < 2 AND quantity BETWEEN 1 AND 25 THEN CAST(quantity AS BIGINT) END AS bounded, CASE WHEN id % 5 < 2 THEN CAST(quantity AS DOUBLE) WHEN id % 5 = 4 THEN price END AS real FROM ({_PRODUCT})",
+    "task_short_list": f"SELECT id, CASE WHEN completed THEN '[x] ' ELSE '[ ] ' END AS mark, title FROM ({_TITLED})",
+    "task_insert": f"SELECT * FROM ({_TITLED}) UNION ALL SELECT {_NEXT_TASK} + row_number() OVER (ORDER BY p_partkey), CASE p_partkey % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'High' ELSE 'Medium' END, FALSE, concat('new ', p_name), '' FROM part WHERE p_partkey <= 10 AND p_partkey % 5 <> 0",
+    "task_verdicts": "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'empty title' ELSE 'ok' END AS inserting, CASE WHEN p_partkey % 5 = 0 THEN 'empty title' WHEN p_partkey % 3 = 0 THEN 'empty description' WHEN p_partkey % 7 = 0 THEN 'bad priority' ELSE 'ok' END AS editing FROM part",
+    "filter_messages": "SELECT * FROM (VALUES ('none', 'No matching tasks found.'), ('empty keyword', 'No matching tasks found.'), ('empty table', 'No tasks available.')) v(\"case\", message)",
+    "priority_labels": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 < 2 THEN 'Low' WHEN o_orderkey % 7 = 3 THEN 'High' ELSE 'Medium' END AS stored, CASE WHEN o_orderkey % 7 < 3 THEN 'Low' WHEN o_orderkey % 7 < 5 THEN 'High' END AS edited, CAST(CASE WHEN o_orderkey % 7 < 2 THEN 1 WHEN o_orderkey % 7 = 3 THEN 3 ELSE 2 END AS BIGINT) AS rank, CASE o_orderkey % 5 WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' WHEN 3 THEN 'High' ELSE 'Unknown' END AS label FROM orders",
+    "book_sides": f"SELECT *, row_number() OVER (PARTITION BY side ORDER BY CASE WHEN side = 'Buy' THEN -price ELSE price END) AS place FROM ({_DEPTH})",
+    "book_add": f"SELECT side, price, CAST(sum(CASE WHEN id % 10 = 0 THEN 3 ELSE 1 END * quantity) AS BIGINT) AS quantity, count(*) + count(*) FILTER (id % 10 = 0) AS n_orders FROM ({_ORDER}) GROUP BY side, price",
+    "chat_until_quit": "WITH l AS (SELECT max(conv_id) // 2 AS last FROM conversations), q AS (SELECT min(conv_id * 1000 + turn) AS q FROM conversations, l WHERE conv_id >= last AND turn = 1) SELECT conv_id, turn, text AS value FROM conversations, q WHERE q IS NULL OR conv_id * 1000 + turn < q",
+    "chat_stream": "SELECT CAST(conv_id AS VARCHAR) AS talk, turn AS seq, text AS value FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn <= c.turn AND (d.conv_id + d.turn) % 5 = 4)",
+    "history_of_symbol": "SELECT o_orderdate, o_orderkey, o_totalprice, o_orderpriority AS symbol FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' AND o_orderpriority = '1-URGENT'",
+    "http_cases": f"""WITH c AS (SELECT conv_id, turn, text, (conv_id + turn) % 8 AS k FROM conversations),
+m AS (SELECT *, k < 3 AS valid, CASE k WHEN 3 THEN 'Request headers too large' WHEN 4 THEN 'Malformed request line' WHEN 5 THEN 'Unsupported HTTP version' WHEN 6 THEN 'Request body too large' WHEN 7 THEN 'Invalid Content-Length' ELSE '' END AS error,
+  CASE k WHEN 0 THEN 'home' WHEN 1 THEN 'not found' WHEN 2 THEN 'message' ELSE 'bad request' END AS route FROM c),
+a AS (SELECT *, CASE WHEN NOT valid THEN '400 Bad Request' WHEN k = 1 THEN '404 Not Found' ELSE '200 OK' END AS status,
+  CASE WHEN NOT valid THEN error WHEN k = 0 THEN 'Hello from C++' WHEN k = 1 THEN 'route not found' ELSE concat('Received: ', text) END AS sent FROM m)
+SELECT conv_id, turn, CASE WHEN k IN (0, 1, 4, 5) THEN 'GET' WHEN k = 2 THEN 'POST' ELSE '' END AS method,
+  CASE k WHEN 0 THEN '/' WHEN 1 THEN '/?q=1' WHEN 2 THEN '/message' WHEN 4 THEN '/about' WHEN 5 THEN '/' ELSE '' END AS path,
+  CASE k WHEN 0 THEN 'HTTP/1.0' WHEN 1 THEN 'HTTP/1.1' WHEN 2 THEN 'HTTP/1.1' WHEN 5 THEN 'HTTP/1.2' ELSE '' END AS version,
+  CASE WHEN k = 0 THEN ' 3' END AS upper, CASE WHEN k = 0 THEN '2' END AS lower, CASE WHEN k = 2 THEN 'empty name' END AS unnamed,
+  CAST(CASE k WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS n_headers, CASE WHEN valid THEN text ELSE '' END AS body, valid, error, route, {_ANSWER} FROM a""",
     "title_search": "SELECT doc_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the')",
     "book_depth": _DEPTH,
     "book_fifo": f"SELECT id, side, price, row_number() OVER (PARTITION BY side, price ORDER BY ts, id) AS place FROM ({_ORDER})",
     "book_stream": _DEPTH,
     "http_parse": "SELECT conv_id, turn, 'POST' AS method, concat('/', role) AS path, 'HTTP/1.1' AS version, 'last' AS host, concat(' ', turn) AS x_turn, CAST(3 AS BIGINT) AS n_headers, CAST(strlen(text) AS BIGINT) AS content_length, text AS body, TRUE AS valid, '' AS error FROM conversations",
     "http_route": "SELECT page_id, method, path, CASE WHEN method = 'GET' AND path = '/' THEN 'home' WHEN method = 'GET' AND path = '/about' THEN 'about' WHEN method = 'POST' AND path = '/message' THEN 'message' ELSE 'not found' END AS route FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, CASE page_id % 5 WHEN 0 THEN '/' WHEN 1 THEN '/message' WHEN 2 THEN '/about' ELSE url END AS path FROM pages)",
-    "http_errors": "SELECT page_id, page_id % 5 = 0 AS valid, error, CASE WHEN page_id % 5 = 0 THEN 'about' ELSE 'bad request' END AS route, CASE WHEN page_id % 5 = 0 THEN '200 OK' ELSE '400 Bad Request' END AS status FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Unsupported HTTP version' WHEN 2 THEN 'Unsupported HTTP version' WHEN 3 THEN 'Invalid Content-Length' ELSE 'Request body too large' END AS error FROM pages)",
+    "http_errors": "SELECT * EXCLUDE (sent), concat('HTTP/1.1 ', status, chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), 'Content-Length: ', strlen(sent), chr(13), chr(10), 'Connection: close', chr(13), chr(10), chr(13), chr(10), sent) AS response FROM (SELECT page_id, page_id % 5 = 0 AS valid, error, CASE WHEN page_id % 5 = 0 THEN 'about' ELSE 'bad request' END AS route, CASE WHEN page_id % 5 = 0 THEN '200 OK' ELSE '400 Bad Request' END AS status, CASE WHEN page_id % 5 = 0 THEN 'About page' ELSE error END AS sent FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Unsupported HTTP version' WHEN 2 THEN 'Unsupported HTTP version' WHEN 3 THEN 'Invalid Content-Length' ELSE 'Request body too large' END AS error FROM pages))",
     "http_response": "SELECT conv_id, turn, concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), 'Content-Length: ', strlen(concat('Received: ', text)), chr(13), chr(10), 'Connection: close', chr(13), chr(10), chr(13), chr(10), 'Received: ', text) AS response FROM conversations",
     "range_head": "SELECT o_orderdate, o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 5",
 }

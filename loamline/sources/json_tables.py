@@ -7,22 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamline.functions.text import priority_from_label
+from loamline.operators.reports import numbered
 from loamline.operators.tables import latest_by_key
 from loamline.schemas import PRODUCT, TASK
 
 
+def _path(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def read_json_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The rows of a JSON array, or of JSON lines, with ``seq`` in file order; a missing file is an empty table.
+    """The rows of a file that holds one JSON array, or of a folder of JSON lines as ``save_table`` makes it, with ``seq``;
+    what is missing is an empty table.
 
-    Missing keys and wrong types are null. The path may be in any store that Spark reads.
+    seq is the one that was saved. Where none was, rows follow the names of their files and their places in them,
+    whichever tasks read them. Missing keys and wrong types are null. The path may be in any store that Spark reads.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    hadoop, files = _path(spark, path)
     if not files.exists(hadoop):
-        rows = spark.createDataFrame([], schema)
-    else:
-        rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+        return spark.createDataFrame([], schema).withColumn("seq", F.lit(0).cast("long"))
+    if files.getFileStatus(hadoop).isFile():
+        return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("seq", F.monotonically_increasing_id())
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("seq", T.LongType())])).json(path)
+    if not rows.where("seq is null").isEmpty():
+        place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")]
+        rows = numbered(rows.select(*schema.names, *place), "_file", "_start", "_row", name="seq")
+    return rows.select(*schema.names, "seq")
 
 
 def load_products(spark: SparkSession, path: str) -> DataFrame:
@@ -41,15 +52,37 @@ def save_table(table: DataFrame, path: str) -> None:
 
 
 def save_tasks(tasks: DataFrame, path: str) -> None:
-    save_table(tasks.orderBy("seq").drop("seq"), path)
+    """Replace the snapshot at a path; list order is kept in ``seq``, so it holds whatever the number of files."""
+    save_table(tasks, path)
+
+
+def save_version(table: DataFrame, folder: str) -> str:
+    """Write a table as the next version of the snapshots in a folder; it may be read from an earlier one.
+
+    A version counts once it is whole, so a lost job leaves the earlier one in place.
+    """
+    spark = table.sparkSession
+    path = f"{folder}/{len(_versions(spark, folder)) + 1:08d}"
+    save_table(table, path)
+    return path
+
+
+def latest_version(spark: SparkSession, folder: str) -> str:
+    """The path of the last whole version in a folder; where there is none, one that doesn't exist."""
+    whole = [x for x in _versions(spark, folder) if _path(spark, x)[1].exists(_path(spark, f"{x}/_SUCCESS")[0])]
+    return whole[-1] if whole else f"{folder}/00000000"
+
+
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    hadoop, files = _path(spark, folder)
+    return sorted(x.getPath().toString() for x in files.listStatus(hadoop)) if files.exists(hadoop) else []
 
 
 def json_array(table: DataFrame) -> DataFrame:
-    """A whole small table as one JSON array of pretty-printed objects, in one row; for files of the interchange form."""
+    """A whole small table as one JSON array of pretty-printed objects, in one row; for files of the interchange form,
+    which one reader takes whole. Larger tables: ``save_table``."""
     return table.agg(F.to_json(F.collect_list(F.struct(*table.columns)), {"pretty": "true"}).alias("value"))
 
 
 def json_rows(table: DataFrame, *columns: str) -> DataFrame:
     return table.select(F.to_json(F.struct(*(columns or table.columns))).alias("value"))
-
-

@@ -5,22 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from loamline.operators.book import depth
 
 
-def depth_stream(orders: DataFrame, name: str):
-    """A streaming query that keeps the depth of each level in a table in memory; complete mode, available data only."""
-    return depth(orders).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def depth_stream(orders: DataFrame, folder: str) -> StreamingQuery:
+    """A running query that keeps the depth of each level in ``folder``/levels, for the data available; complete mode.
 
+    folder is one that all executors share: its ``state`` holds progress and running sums, so a restarted query goes on.
+    """
+    writer = depth(orders).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    return writer.foreachBatch(lambda levels, _: levels.write.mode("overwrite").parquet(f"{folder}/levels")).start()
 
-def depth_of_files(spark: SparkSession, folder: str, pattern: str, prepare: Callable[[DataFrame], DataFrame], name: str, checkpoint: str | None = None) -> DataFrame:
+
+def depth_of_files(spark: SparkSession, source: str, pattern: str, prepare: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
     """Depth of the orders in the files of a folder, read as a stream until all are taken."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    writer = depth(prepare(files)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint is not None:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return spark.table(name)
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(source).schema
+    orders = prepare(spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(source))
+    depth_stream(orders, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/levels")

@@ -8,6 +8,7 @@ from loamline.sources import json_tables
 from loamline.sources.chat import until_quit
 from loamline.sources.prices import load_history
 from loamline.streaming.book import depth_stream
+from loamline.streaming.chat import send_until_quit
 
 
 def rows(df, *order):
@@ -33,6 +34,9 @@ def test_insert_skips_invalid_rows_and_numbers_the_others(spark):
     assert rows(tables.insert_products(products(spark, (5, "a", 1, 1.0)), new), "id") == [(5, "a", 1, 1.0), (6, "x", 1, 1.0), (7, "z", 0, 0.0)]
     assert tables.check_batch(new).first()["accepted"]
     assert not tables.check_batch(spark.range(11)).first()["accepted"]
+    many = new.unionByName(new).unionByName(new)
+    assert rows(tables.insert_products(products(spark, (5, "a", 1, 1.0)), many)) == [(5, "a", 1, 1.0)]
+    assert rows(tables.insert_products(products(spark, (5, "a", 1, 1.0)), new.limit(0))) == [(5, "a", 1, 1.0)]
 
 
 def test_edits_are_all_or_nothing(spark):
@@ -87,6 +91,44 @@ def test_tasks_keep_repeated_ids_and_order(spark, tmp_path):
     assert [(r["title"], r["priority"]) for r in json_tables.load_tasks(spark, str(path)).orderBy("seq").collect()] == [("a", "Medium"), ("b", "Low")]
 
 
+def test_list_order_survives_any_number_of_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        base = spark.createDataFrame([(9000 - i, i, f"t{i}" * (i % 50), "", "Low", False) for i in range(3000)], "seq long, id long, title string, description string, priority string, completed boolean")
+        json_tables.save_tasks(base.repartition(7), str(tmp_path / "t"))
+        loaded = json_tables.load_tasks(spark, str(tmp_path / "t"))
+        assert [r["id"] for r in loaded.orderBy("seq").collect()] == list(range(2999, -1, -1))
+        json_tables.save_table(base.drop("seq").orderBy("id"), str(tmp_path / "plain"))
+        assert [r["id"] for r in json_tables.load_tasks(spark, str(tmp_path / "plain")).orderBy("seq").collect()] == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_snapshots_replace_what_they_read(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    load = lambda: json_tables.load_products(spark, json_tables.latest_version(spark, folder))
+    assert load().isEmpty()
+    json_tables.save_version(products(spark, (1, "a", 1, 1.0), (2, "b", 2, 2.0)), folder)
+    json_tables.save_version(load().where("id = 2"), folder)
+    (tmp_path / "s" / "00000003").mkdir()  # a version that a lost job left half written
+    assert rows(load()) == [(2, "b", 2, 2.0)]
+
+
+def test_lookups_say_what_they_found(spark):
+    asked = spark.createDataFrame([("1",), ("x",), ("7",), (None,)], "asked string")
+    found = tables.lookup(products(spark, (1, "a", 1, 1.0)), asked)
+    assert sorted((r["asked"] or "", r["name"], r["outcome"]) for r in found.collect()) == [("", None, "Please enter a valid number."), ("1", "a", "found"), ("7", None, "Product ID not found."), ("x", None, "Please enter a valid number.")]
+
+
+def test_streamed_talks_end_over_micro_batches(spark, tmp_path):
+    for k, batch in enumerate([[("a", 1, "hi"), ("b", 1, "x")], [("a", 3, "late"), ("a", 2, "quit"), ("b", 2, "y")], [("a", 4, "later"), ("b", 3, "quit")]]):
+        spark.createDataFrame(batch, "talk string, seq long, value string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        files = spark.readStream.schema("talk string, seq long, value string").parquet(str(tmp_path / "in"))
+        send_until_quit(files).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        assert k < 3
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("a", 1, "hi"), ("b", 1, "x"), ("b", 2, "y")]
+
+
 def test_book(spark):
     orders = spark.createDataFrame([(0, 1, "Buy", 100, 5), (1, 2, "Buy", 101, 3), (2, 3, "Sell", 102, 4), (3, 4, "Buy", 100, 7)], "seq long, id long, side string, price long, quantity long")
     levels = book.depth(book.add_orders(orders, orders.where("seq = 2").withColumn("seq", F.lit(9).cast("long"))))
@@ -98,9 +140,9 @@ def test_book(spark):
 def test_stream_equals_batch(spark, tmp_path):
     orders = spark.createDataFrame([(i, i, "Buy" if i % 3 else "Sell", i % 5, i) for i in range(100)], "seq long, id long, side string, price long, quantity long")
     orders.write.parquet(str(tmp_path / "o"))
-    query = depth_stream(spark.readStream.schema(orders.schema).parquet(str(tmp_path / "o")), "test_depth")
+    query = depth_stream(spark.readStream.schema(orders.schema).parquet(str(tmp_path / "o")), str(tmp_path / "book"))
     query.awaitTermination()
-    assert rows(spark.table("test_depth")) == rows(book.depth(orders))
+    assert rows(spark.read.parquet(str(tmp_path / "book" / "levels"))) == rows(book.depth(orders))
 
 
 def test_sources(spark):

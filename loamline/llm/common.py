@@ -12,7 +12,7 @@ from loamline.plans.lineage import checkpoint
 
 __all__ = [
     "ALNUM_GAP", "ALNUM_TABLE", "SPACE_CLASS", "SPACE_WORD", "WordHashes", "alnum_words", "ascii_lower", "checkpoint",
-    "count_space_words", "limited", "mix", "most_frequent", "read_table", "slices", "space_words",
+    "count_space_words", "limited", "mix", "read_table", "slices", "space_words",
 ]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -56,23 +56,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The rows of largest ``n``, about ``limit`` of them and never more.
-
-    The least n comes from a histogram over steps of n's logarithm, so no task or driver sorts or holds more rows than it
-    returns; rows of the step that would exceed the limit are left out together.
-    """
-    step = F.floor(F.log2("n") * 256)
-    histogram = counts.where("n > 0").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("step")).collect()
-    least, total = None, 0
-    for r in histogram:
-        total += r["rows"]
-        if total > limit:
-            break
-        least = r["step"]
-    return counts.where(F.lit(False) if least is None else step >= least)
-
-
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for the words seen last."""
 

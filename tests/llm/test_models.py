@@ -2,14 +2,13 @@
 
 import math
 import random
-import re
 import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loamline.llm import lm_scoring, toxicity
-from loamline.llm.common import WordHashes, most_frequent
 
 DOC = "doc_id long, text string, lang string, source string, word string, n long, mean double, target boolean"
 LABEL = "doc_id long, quality int, toxic int, text string"
@@ -84,13 +83,6 @@ def test_model_probabilities_sum_to_one():
         assert abs(sum(p) - 1) < 1e-5
 
 
-def test_most_frequent_never_exceeds_its_limit(spark):
-    counts = spark.createDataFrame([(i, 1 + i // 10) for i in range(100)], "w int, n long")
-    found = Counter(r["n"] for r in most_frequent(counts, 35).collect())
-    assert found == Counter({10: 10, 9: 10, 8: 10})
-    assert most_frequent(counts, 5).isEmpty() and most_frequent(counts.limit(0), 5).isEmpty()
-
-
 def toxic_corpus(n=900):
     rng = random.Random(2)
     plain = [f"word{i}" for i in range(300)]
@@ -127,28 +119,63 @@ def test_held_out_labels_change_no_score(spark):
     assert a == b
 
 
-def test_words_share_no_counts_and_the_join_gives_the_same_scores(spark):
-    hashes, seen, pair = WordHashes(), {}, None
-    for i in range(20_000):  # two words that a table of 2**20 slots takes for one
-        word = f"word{i}"
-        pair = (word, seen[at]) if (at := hashes[word.encode()] % (1 << 20)) in seen else pair
-        seen[at] = word
+def test_the_join_gives_the_same_scores(spark):
     texts, labels = toxic_corpus(400)
-    swap = lambda t: re.sub("nasty|vile|Awful!", pair[0], t).replace("word1 ", f"{pair[1]} ").replace("word2 ", f"{pair[1]} ")
-    texts = [(i, swap(t)) for i, t in texts] + [(7000, None), (None, "")]
+    texts += [(7000, None), (None, ""), (7001, "long " * 300_000), (7002, "w" * 3000)]
     truth = {i: t for i, _, t, _ in labels}
-    a, b = ({r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score_toxicity(documents(spark, texts), spark.createDataFrame(labels, LABEL), **k).collect()} for k in ({}, {"broadcast_words": 0}))
+    a, b = ({r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score_toxicity(documents(spark, texts), spark.createDataFrame(labels, LABEL), **k).collect()} for k in ({}, {"broadcast_nodes": 0}))
     held = [a[i][1] == truth[i] for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum(held) / len(held) > 0.95
     assert a == b
 
 
+def counts_of(spark, words):
+    """A table as of ``_count``: words with (class, part) of each text that has them."""
+    rows = [(w.encode(), *[at.count((c, k)) for c in range(2) for k in range(toxicity.PARTS)]) for w, at in words.items()]
+    kinds = ", ".join(f"{c} long" for c in toxicity.COUNTS)
+    counts = spark.createDataFrame(rows, f"word binary, {kinds}").mapInArrow(toxicity._nodes, f"node long, parent long, {kinds}")
+    return counts.groupBy("node").agg(F.min("parent").alias("parent"), *[F.sum(c).alias(c) for c in toxicity.COUNTS])
+
+
+def test_letters_counts_and_probabilities_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = {w: [(rng.randrange(2), rng.randrange(4)) for _ in range(rng.randint(1, 30))] for w in ("a", "ab", "abc", "abd", "b", "é", "ax")}
+    rows = toxicity.with_beginnings(counts_of(spark, words)).collect()
+    steps = Counter()
+    for w, at in words.items():
+        raw = w.encode()
+        for h, x in [*((raw[:k], raw[k : k + 1]) for k in range(len(raw))), (raw, b" ")]:
+            for c, _ in at:
+                steps[h, x, c] += 1
+    beginnings = {h for h, _, _ in steps}
+    assert len(rows) == len({(h, x) for h, x, _ in steps})
+    d = [0.7, 0.4]
+    by_parent = {}
+    for r in rows:
+        n, t = ([sum(r[f"{x}{c}_{k}"] for k in range(4)) for c in range(2)] for x in "nt")
+        p = [float(toxicity.probability(np.float64(n[c]), np.float64(t[c]), np.float64(r[f"k{c}"]), np.float64(sum(n) / sum(t)), d[c])) for c in range(2)]
+        by_parent.setdefault(r["parent"], []).append((*n, *t, *p))
+    assert len(by_parent) == len(beginnings)
+    for h in beginnings:
+        found = by_parent[toxicity.path(h)[-2]]
+        letters = {x for g, x, _ in steps if g == h}
+        totals = [sum(steps[h, x, c] for x in letters) for c in range(2)]
+        kinds = [sum(steps[h, x, c] > 0 for x in letters) for c in range(2)]
+        wanted = []
+        for x in letters:
+            n = [steps[h, x, c] for c in range(2)]
+            shared = sum(n) / sum(totals)
+            p = [(max(n[c] - d[c], 0) + d[c] * kinds[c] * shared) / totals[c] if totals[c] else shared for c in range(2)]
+            wanted.append((*n, *totals, *p))
+        assert np.allclose(sorted(found), sorted(wanted))
+        for c in range(2):
+            assert abs(sum(r[4 + c] for r in found) - 1) < 1e-12
+
+
 def test_one_discount_below_one_at_every_size(spark):
     for size in (1, 1000):
-        rare = [(f"r{i}", 0, 1 + i % 2) for i in range(30)]
-        counts = [*rare, ("seen", 9, 5 * size), ("plain", 500 * size, 300 * size)]
-        models = toxicity.ClassModels(spark.createDataFrame([(i, a, b) for i, (_, a, b) in enumerate(counts)], "word long, n0 long, n1 long"))
-        assert models.discounts[1] == 16 / (16 + 32)
+        counts = [(i, *([0] * 4), 1 + i % 2, 0, 0, 0) for i in range(30)] + [(100, *([9 * size] * 4), *([5 * size] * 4))]
+        assert toxicity.discounts(spark.createDataFrame(counts, ["node", *toxicity.COUNTS])) == [0.5, 16 / (16 + 32)]
 
 
 def test_without_labels(spark):

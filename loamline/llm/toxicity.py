@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.llm.common import ALNUM_TABLE, checkpoint, read_table, slices
+from loamline.plans.lineage import remove, shared_folder
 
 #: Telling beginnings of words that are broadcast at most, 48 bytes each; beyond, texts' words are joined to them by shuffle.
 BROADCAST_NODES = 500_000
@@ -93,15 +95,11 @@ def discounts(counts: DataFrame) -> list[float]:
 
 def with_beginnings(counts: DataFrame) -> DataFrame:
     """Each letter's counts with those of the beginning that it follows (t), and the number of letters there (k); at most
-    257 letters follow one."""
-    kinds = [f"k{c[1:]}" for c in COUNTS]
+    257 letters follow one, so a window of one beginning is small."""
     whole = [sum((F.col(f"n{c}_{k}") for k in range(PARTS)), F.lit(0)) for c in range(2)]
-    rest = [[whole[c] - F.col(f"n{c}_{k}") for k in range(PARTS)] for c in range(2)]
-    family = counts.groupBy("parent").agg(
-        *[F.sum(c).alias(f"t{c[1:]}") for c in COUNTS], *[F.count_if(rest[int(c[1])][int(c[3:])] > 0).alias(c) for c in kinds],
-        *[F.count_if(whole[c] > 0).alias(f"k{c}") for c in range(2)],
-    )
-    return counts.join(family, "parent")
+    rest = {f"k{c}_{k}": whole[c] - F.col(f"n{c}_{k}") for c in range(2) for k in range(PARTS)} | {f"k{c}": whole[c] for c in range(2)}
+    family = Window.partitionBy("parent")
+    return counts.select("*", *[F.sum(c).over(family).alias(f"t{c[1:]}") for c in COUNTS], *[F.count_if(x > 0).over(family).alias(k) for k, x in rest.items()])
 
 
 EVIDENCE = [*(f"e_{k}" for k in range(PARTS)), "e"]
@@ -242,6 +240,7 @@ def score_toxicity(
     any is; of the rows of one id the calibration takes the one of largest mean. With no labels, or of one class only, the score is the share of
     toxic labels. Repeated rows are scored alike; other columns are ignored.
     """
+    spark = docs.sparkSession
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("l_id")).agg((F.max("toxic") == 1).cast("int").alias("toxic"))
     marks = checkpoint(marks.where(fold(F.col("l_id")) != 1).withColumn("model", F.pmod(F.xxhash64("l_id", F.lit("part")), F.lit(PARTS)).cast("int")))
     few = marks.count() <= 2_000_000  # id, label, part: 32 MB at most are broadcast, else the join shuffles
@@ -251,8 +250,11 @@ def score_toxicity(
     kinds = ", ".join(f"{c} long" for c in COUNTS)
     words = known.select("text", "toxic", "model").mapInArrow(_count, f"word binary, {kinds}").groupBy("word").agg(*sums)
     counts = words.mapInArrow(_nodes, f"node long, parent long, {kinds}").groupBy("node").agg(F.min("parent").alias("parent"), *sums)
-    counts = checkpoint(counts)
+    folder = f"{shared_folder(spark)}/letters-{uuid.uuid4().hex}"
+    counts.write.parquet(folder)  # columns of small numbers, which a checkpoint would keep as eight bytes each
+    counts = spark.read.parquet(folder)
     telling = checkpoint(increments(with_beginnings(counts), discounts(counts)))
+    remove(spark, folder)
 
     some = marks.orderBy(F.xxhash64("l_id"), "l_id").limit(calibration_rows)
     fitted = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", "model")

@@ -1,10 +1,15 @@
-"""Repeated substrings of a whole corpus: anchors chosen by content, groups of equal anchors, suffix ranks inside groups.
+"""Repeated substrings of a whole corpus: anchors chosen by content, and the stretches around equal anchors.
 
-Both substring operators are made of this. A text is an array of symbols (bytes or words) and a window is ``length``
+Both substring operators start with this. A text is an array of symbols (bytes or words) and a window is ``length``
 consecutive symbols. The windows of a text are dealt to runs: each belongs to the anchor of least hash in it (a
 minimiser, so equal windows have equal anchors at equal places), and to a key, the hash of the anchor with the symbols
-on its longer side. Equal windows have equal keys. Only keys that come twice need the text, and of runs whose whole
-context is equal only one does; those contexts are shipped to the task of their key and sorted there.
+on its longer side. Equal windows have equal keys. Only keys that come twice need the text. Of runs whose whole
+contexts are equal one stands for all; contexts that differ are shipped, and solved by suffix order.
+
+A key that very many texts have in different contexts, as a notice has inside different pages, would gather in one task.
+So a sample of the texts, chosen by hash, is looked through for such keys first; their runs are split by the place of
+the anchor into shorter ones, whose keys are longer, twice if need be. Windows that are equal are split alike, so that
+changes no result, only which task solves what.
 """
 
 from __future__ import annotations
@@ -25,16 +30,23 @@ BASE = 0xD1342543DE82EF95
 PIECE = 800_000
 #: Bytes of span lists that are broadcast at most; beyond, that join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: One text in so many is looked through for keys to split: those with at least ``HOT`` contexts there, and one in
+#: ``MOST_HOT`` of all contexts there, so there are ``MOST_HOT`` (8 bytes each) at most. No result depends on it.
+SAMPLE, HOT, MOST_HOT = 16, 16, 500_000
+#: Rows of sorted runs that are grouped at once.
+ROWS_AT_ONCE = 1_000_000
 
 
 @dataclass(frozen=True)
 class Shape:
-    """length of a window, symbols of an anchor, and of the side that makes a key; first: the earliest copy stays."""
+    """length of a window, symbols of an anchor; first: the earliest copy stays; widths: most windows of a run that was split
+    once, and twice."""
 
     length: int
     anchor: int
     words: bool
     first: bool
+    widths: tuple[int, int]
 
     @property
     def wing(self) -> int:
@@ -77,8 +89,9 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: m - w + 1], ahead[w - 1 : m])
 
 
-def runs(symbols: np.ndarray, ends: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """Of concatenated texts that end at ``ends``: key, context hash, first and last window start of each run."""
+def runs(symbols: np.ndarray, ends: np.ndarray, shape: Shape, hot: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Of concatenated texts that end at ``ends``: key, context hash, first and last window start of each run; those of
+    ``hot`` keys (sorted, unsigned; of whole runs, and of runs split once) are split."""
     n, length, k, wing = len(symbols), shape.length, shape.anchor, shape.wing
     if n < length:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -99,10 +112,28 @@ def runs(symbols: np.ndarray, ends: np.ndarray, shape: Shape) -> tuple[np.ndarra
     anchor, left = anchor[new], left[new]
     key = rolling.of(np.where(left, anchor - wing, anchor), k + wing)
     key = mix(key + left.astype(np.uint64))
+    for width, known in zip(shape.widths, hot, strict=False):
+        split = np.flatnonzero(np.isin(key, known)) if len(known) else anchor[:0]
+        if len(split):
+            parts = _split(rolling, first[split], last[split], anchor[split], length, width)
+            keep = np.ones(len(key), bool)
+            keep[split] = False
+            key, first, last, anchor = (np.concatenate([c[keep], p]) for c, p in zip((key, first, last, anchor), parts, strict=True))
     context = mix(rolling.of(first, last - first + length) + mix((anchor - first).astype(np.uint64)))
     return key.view(np.int64), context.view(np.int64), first, last
 
 
+def _split(rolling: Rolling, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
+    """Runs by classes of ``width`` places of the anchor in the window; their key is all that the windows of a class share."""
+    low, high = (anchor - last) // width, (anchor - first) // width
+    times = high - low + 1
+    of = np.repeat(np.arange(len(first)), times)
+    kind = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+    start = anchor[of] - kind * width  # of the last window that the class may have
+    key = mix(rolling.of(start, length - width + 1) + mix(kind.astype(np.uint64) * np.uint64(1024) + np.uint64(width)))
+    return key, np.maximum(first[of], start - width + 1), np.minimum(last[of], start), anchor[of]
+
+
 def _pieces(texts: list[np.ndarray], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
     """Concatenations of about PIECE symbols: symbols, ends, and (text, start in the piece, offset in the text)."""
     held, where, size = [], [], 0
@@ -144,7 +175,8 @@ def combine(rows: list[np.ndarray]) -> list[np.ndarray]:
     return [c[by_text] for c in (np.where(new, rows[0], own), *rows[1:], copies)]
 
 
-def _scan(shape: Shape) -> Callable:
+def _scan(shape: Shape, hot) -> Callable:
+    """hot: a broadcast of the keys to split."""
     names = ["key", "context", "doc", "tid", "size", "first", "last", "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +185,7 @@ def _scan(shape: Shape) -> Callable:
             texts = [shape.symbols(hashes, t) for t in batch.column("text").to_pylist()]
             own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tid", "size")]
             for symbols, ends, where in _pieces(texts, shape.length):
-                key, context, first, last = runs(symbols, ends, shape)
+                key, context, first, last = runs(symbols, ends, shape, hot.value)
                 begins = np.array([w[1] for w in where])
                 piece = np.searchsorted(begins, first, side="right") - 1
                 text = np.array([w[0] for w in where])[piece]
@@ -166,7 +198,8 @@ def _scan(shape: Shape) -> Callable:
 
 
 def _groups(shape: Shape) -> Callable:
-    """Of one partition of runs: those whose windows are settled by equal contexts, and one run of each context of a key that has several."""
+    """Of runs sorted by key: those whose windows are settled by equal contexts, and one run of each context of a key that
+    has several."""
 
     def out(rows: list[np.ndarray], settled: np.ndarray, ask: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -174,27 +207,19 @@ def _groups(shape: Shape) -> Callable:
             names=["key", "doc", "tid", "size", "first", "last", "settled", "ask"],
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[] for _ in range(8)]
-        for batch in batches:
-            for held, c in zip(columns, batch.columns, strict=True):
-                held.append(c.to_numpy())
-        if not columns[0]:
-            return
-        rows = [np.concatenate(c) for c in columns]
-        settled_before = rows[7] == 0
-        yield out([c[settled_before] for c in rows], np.ones(settled_before.sum(), bool), np.zeros(settled_before.sum(), bool))
-        rows = [c[~settled_before] for c in rows]
-        order = np.argsort(rows[0])  # most keys come once and go before anything else is sorted
-        same = np.diff(rows[0][order]) == 0
-        several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(order) else np.zeros(0, bool)
-        several |= rows[7][order] > 1
-        rows = [c[order[several]] for c in rows]
+    def solve(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        before = rows[7] == 0
+        yield out([c[before] for c in rows], np.ones(before.sum(), bool), np.zeros(before.sum(), bool))
+        rows = [c[~before] for c in rows]
+        same = np.diff(rows[0]) == 0  # most keys come once and go before anything else is sorted
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(rows[0]) else np.zeros(0, bool)
+        several |= rows[7] > 1
+        rows = [c[several] for c in rows]
         key, context, doc, tid, _, first, _, _ = rows
         order = np.lexsort((first, tid, doc, context, key))
-        rows = [c[order] for c in rows]
         if not len(order):
             return
+        rows = [c[order] for c in rows]
         new = change(rows[0], rows[1], rows[3], rows[5])  # repeated rows of one document
         counts = np.maximum.reduceat(rows[7], np.flatnonzero(new))
         rows = [c[new] for c in rows]
@@ -207,9 +232,55 @@ def _groups(shape: Shape) -> Callable:
         ask = new_context & (contexts > 1)
         yield out([c[settled | ask] for c in rows], settled[settled | ask], ask[settled | ask])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= ROWS_AT_ONCE:
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
+                if whole:
+                    yield from solve([c[:whole] for c in rows])
+                held, size = [[c[whole:] for c in rows]], len(rows[0]) - whole
+        if held:
+            yield from solve([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+def _sampled(shape: Shape, hot) -> Callable:
+    """(key, context) of the runs, split by the keys that are known so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches, most_bytes=1_000_000):
+            texts = [shape.symbols(hashes, t) for t in batch.column("text").to_pylist()]
+            for symbols, ends, _ in _pieces(texts, shape.length):
+                key, context, _, _ = runs(symbols, ends, shape, hot.value)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context)], names=["key", "context"])
+
     return run
 
 
+def hot_keys(texts: DataFrame, shape: Shape):
+    """A broadcast of the keys that runs are split by, from a sample of the texts: for each split a sorted array."""
+    context = texts.sparkSession.sparkContext
+    sample = checkpoint(texts.where(F.pmod(F.xxhash64("tid", "size"), F.lit(SAMPLE)) == 0).select("text"))
+    found: tuple[np.ndarray, ...] = ()
+    for _ in shape.widths:
+        runs_of = sample.mapInArrow(_sampled(shape, context.broadcast(found)), "key long, context long")
+        counts = checkpoint(runs_of.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        keys = counts.where(F.col("n") >= max(HOT, total // MOST_HOT)).select("key").toArrow()  # MOST_HOT at most
+        keys = keys.column("key").to_numpy().view(np.uint64)
+        if not len(keys):
+            break
+        found = (*found, np.sort(keys))
+    return context.broadcast(found)
+
+
 def _contexts(shape: Shape) -> Callable:
     """The symbols of each asked run: (key, doc, tid, size, first, last, symbols)."""
 
@@ -230,63 +301,6 @@ def _contexts(shape: Shape) -> Callable:
     return run
 
 
-def suffix_ranks(symbols: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of the suffixes that start ``at``, by their first ``depth`` symbols (all inside the array); equal ones share it.
-
-    Prefix doubling: ranks by 1, 2, 4 ... symbols, and two overlapping ranks for what is left of the depth.
-    """
-    dense = lambda x: np.unique(x, return_inverse=True)[1].astype(np.int64)
-    pad = lambda x, by: np.concatenate([x[by:], np.zeros(min(by, len(x)), x.dtype)])
-    if symbols.dtype == np.uint8 and depth >= 8:
-        packed = symbols.astype(np.uint64)
-        for by in (1, 2, 4):
-            packed = (packed << np.uint64(8 * by)) | pad(packed, by)
-        rank, done = dense(packed), 8
-    else:
-        rank, done = dense(symbols), 1
-    while 2 * done <= depth:
-        rank, done = dense(rank * (len(rank) + 1) + pad(rank, done)), 2 * done
-    if done == depth:
-        return rank[at]
-    return dense(rank[at] * (len(rank) + 1) + rank[at + depth - done])
-
-
-def in_groups(find: Callable, shape: Shape, most: int) -> Callable:
-    """Take contexts, sorted by key, about ``most`` symbols at a time and never half a key, to ``find``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-
-        def flush() -> pa.RecordBatch:
-            key, doc, tid, n, first, end, raw = zip(*held, strict=True)
-            parts = [np.frombuffer(r, np.uint64 if shape.words else np.uint8) for r in raw]
-            begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-            count = np.array(end) - np.array(first) + 1
-            of = np.repeat(np.arange(len(parts)), count)
-            inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            doc, tid, n = np.array(doc), np.array(tid), np.array(n)
-            start = np.array(first)[of] + inside
-            chosen = find(np.concatenate(parts), begins[of] + inside, doc[of], tid[of], start)
-            of, start = of[chosen], start[chosen]
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(start) != 1)])) if len(of) else of
-            ends = np.concatenate([new[1:] - 1, [len(of) - 1]]) if len(of) else of
-            columns = [tid[of[new]], n[of[new]], start[new], start[ends]]
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["tid", "size", "first", "last"])
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= most and row[0] != last:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[6]) // (8 if shape.words else 1)
-                last = row[0]
-        if held:
-            yield flush()
-
-    return run
-
-
 def _merge(length: int) -> Callable:
     """Each text's runs as few, covering the same symbols."""
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -307,12 +321,13 @@ def _merge(length: int) -> Callable:
     return run
 
 
-def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, shape: Shape, solve: Callable, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, copy (of an equal text of another row), later (than the first equal text), spans of each row, and
     the columns of ``carry`` as c_name.
 
     spans are the (first, last) starts of repeated windows in the text, as ``shape.first`` counts them. Equal texts are
-    one text with the smallest doc_id (null comes last), of whose rows one alone is scanned.
+    one text with the smallest doc_id (null comes last), of whose rows one alone is scanned. ``solve`` takes contexts
+    (key, doc, tid, size, first, last, symbols) and gives spans (tid, size, first, last) of their windows.
     """
     last = F.lit((1 << 63) - 1)
     texts = docs.select(
@@ -330,14 +345,13 @@ def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int, car
         once = once.where("again is null or not again").unionByName(once.where("again").dropDuplicates(["doc", "tid", "size"]))
     once = once.drop("again")
 
-    found = once.mapInArrow(_scan(shape), "key long, context long, doc long, tid long, size long, first long, last long, copies long")
-    groups = checkpoint(found.repartition("key").mapInArrow(_groups(shape), "key long, doc long, tid long, size long, first long, last long, settled boolean, ask boolean"))
+    found = once.mapInArrow(_scan(shape, hot_keys(once, shape)), "key long, context long, doc long, tid long, size long, first long, last long, copies long")
+    found = found.repartition("key").sortWithinPartitions("key")
+    groups = checkpoint(found.mapInArrow(_groups(shape), "key long, doc long, tid long, size long, first long, last long, settled boolean, ask boolean"))
     asked = groups.where("ask").groupBy("doc", "tid", "size").agg(F.collect_list(F.struct("key", "first", "last")).alias("asked"))
     contexts = once.hint("shuffle_merge").join(asked, ["doc", "tid", "size"]).mapInArrow(_contexts(shape), "key long, doc long, tid long, size long, first long, last long, symbols binary")
-    sorted_by_key = contexts.repartition("key").sortWithinPartitions("key")
-    solved = sorted_by_key.mapInArrow(in_groups(find, shape, most), "tid long, size long, first long, last long")
 
-    spans = groups.where("settled").select("tid", "size", "first", "last").unionByName(solved)
+    spans = groups.where("settled").select("tid", "size", "first", "last").unionByName(solve(contexts))
     spans = spans.groupBy("tid", "size").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = checkpoint(spans.mapInArrow(_merge(shape.length), "tid long, size long, spans array<struct<first:long,last:long>>"))
     held = spans.agg(F.sum(F.size("spans") * 16 + 48)).first()[0] or 0
@@ -348,6 +362,14 @@ def repeated_spans(docs: DataFrame, shape: Shape, find: Callable, most: int, car
     )
 
 
+def spans_of(of: np.ndarray, start: np.ndarray, tid: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """Windows of contexts (``of``, ascending, and their starts) as runs of neighbours; tid and size by context."""
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(start) != 1)])) if len(of) else of
+    ends = np.concatenate([new[1:] - 1, [len(of) - 1]]) if len(of) else of
+    columns = [tid[of[new]], size[of[new]], start[new], start[ends]]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["tid", "size", "first", "last"])
+
+
 def covered(spans: list[dict] | None, length: int, n: int) -> list[tuple[int, int]]:
     """Maximal covered stretches [begin, end) of n symbols."""
     out: list[tuple[int, int]] = []

@@ -11,37 +11,139 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.llm.common import read_table, slices
-from loamline.llm.repeats import Shape, covered, repeated_spans, suffix_ranks
+from loamline.llm.repeats import Shape, covered, repeated_spans, spans_of
 
 #: Bytes of a repeated string, and of an anchor; bytes of contexts that are sorted at once.
 LENGTH, ANCHOR, AT_ONCE = 400, 32, 800_000
+#: Most windows of a run that is split once, and twice, for very common stretches.
+WIDTHS = (20, 3)
 
 
-def neighbours(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Previous and next smaller positions in suffix order, where they share the suffix's rank; -1 where none does.
+def suffix_order(symbols: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Ranks of the suffixes that start ``at`` by their first ``depth`` bytes (all inside the array), equal ones sharing a
+    rank; and, to compare suffixes by, values that are equal where the next 1, 2, 4 ... bytes are.
 
-    Suffixes are sorted by rank, those of one rank by their place in the corpus. So the entry before is the nearest of
-    a smaller place with a common prefix of the ranked depth, if its rank is the same: the longest previous factor is
-    at least that deep exactly there. Seen from the other end, the entry after is a later copy.
+    Prefix doubling: values of 8 bytes are the bytes themselves, longer ones are ranks of pairs.
     """
+    dense = lambda x: np.unique(x, return_inverse=True)[1].astype(np.int64)
+    pad = lambda x, by: np.concatenate([x[by:], np.zeros(min(by, len(x)), x.dtype)])
+    value, done = symbols.astype(np.uint64), 1
+    levels = [(1, value)]
+    while 2 * done <= min(depth, 8):
+        value, done = (value << np.uint64(8 * done)) | pad(value, done), 2 * done
+        levels.append((done, value))
+    rank = dense(value)
+    while 2 * done <= depth:
+        rank, done = dense(rank * (len(rank) + 1) + pad(rank, done)), 2 * done
+        levels.append((done, rank))
+    return (rank[at] if done == depth else dense(rank[at] * (len(rank) + 1) + rank[at + depth - done])), levels
+
+
+def common_prefixes(levels: list[tuple[int, np.ndarray]], at: np.ndarray, depth: int) -> np.ndarray:
+    """Of suffixes in order: the length, ``depth`` at most, that each has in common with the one before; 0 for the first."""
+    a, b, off = at[:-1], at[1:], np.zeros(max(len(at) - 1, 0), np.int64)
+    for size, value in reversed(levels):
+        most = len(value) - 1
+        off += size * ((off + size <= depth) & (value[np.minimum(a + off, most)] == value[np.minimum(b + off, most)]))
+    return np.concatenate([[0], off])[: len(at)]
+
+
+def previous_smaller(place: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the nearest before it of a smaller place (-1 for none), and the least of ``lcp`` on the way, lcp[i]
+    being that of the entries i - 1 and i.
+
+    Minima over 1, 2, 4 ... entries are skipped while all places there are larger: in growing steps, then in shrinking
+    ones. Most entries stop within a few.
+    """
+    n = len(place)
+    tables = [(place, lcp)]
+    while 2 ** len(tables) <= n:
+        by = 2 ** (len(tables) - 1)
+        tables.append(tuple(np.concatenate([x[:by], np.minimum(x[by:], x[:-by])]) for x in tables[-1]))
+    found, least = np.arange(n) - 1, lcp.copy()
+    stopped = np.zeros(n, np.int64)
+
+    def skip(who: np.ndarray, k: int) -> np.ndarray:
+        cur = found[who]
+        can = (cur >= 2**k - 1) & (tables[k][0][np.maximum(cur, 0)] > place[who])
+        who = who[can]
+        least[who] = np.minimum(least[who], tables[k][1][found[who]])
+        found[who] -= 2**k
+        return can
+
+    active = np.arange(n)
+    for k in range(len(tables)):
+        can = skip(active, k)
+        stopped[active[~can]] = k
+        active = active[can]
+    stopped[active] = len(tables)
+    order = np.argsort(-stopped, kind="stable")
+    above = np.searchsorted(-stopped[order], -np.arange(len(tables)))  # how many stopped above level k
+    for k in reversed(range(len(tables))):
+        if above[k]:
+            skip(order[: above[k]], k)
+    return found, np.where(found >= 0, least, 0)
+
+
+def longest_previous_factors(order: np.ndarray, lcp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By suffix: the length of the longest match that starts at a smaller place, and the suffix of that match (-1: none).
+
+    Of the suffixes in order, the nearest of a smaller place on either side have the longest common prefixes with it of
+    all that have smaller places. order: suffixes in order; lcp: as of ``common_prefixes``; place: by suffix, no two equal.
+    """
+    n, p = len(order), place[order]
+    left, by_left = previous_smaller(p, lcp)
+    right, by_right = previous_smaller(p[::-1], np.concatenate([[0], lcp[:0:-1]])[:n])
+    right, by_right = np.where(right >= 0, n - 1 - right, -1)[::-1], by_right[::-1]
+    nearer = by_left >= by_right
+    match, length = np.where(nearer, left, right), np.where(nearer, by_left, by_right)
+    factors, source = np.zeros(n, np.int64), np.full(n, -1)
+    factors[order] = length
+    source[order] = np.where(length > 0, order[match], -1)
+    return factors, source
+
+
+def repeated_starts(symbols: np.ndarray, at: np.ndarray, place: np.ndarray, length: int, first: bool) -> np.ndarray:
+    """Which of the suffixes ``at`` have an earlier match of ``length`` bytes, or, unless the first copy stays, are one."""
+    rank, levels = suffix_order(symbols, at, length)
     order = np.lexsort((place, rank))
-    same = np.diff(rank[order]) == 0
-    before, after = np.full(len(rank), -1), np.full(len(rank), -1)
-    before[order[1:][same]] = order[:-1][same]
-    after[order[:-1][same]] = order[1:][same]
-    return before, after
-
+    factors, source = longest_previous_factors(order, common_prefixes(levels, at[order], length), place)
+    chosen = factors >= length
+    if not first:
+        chosen[source[chosen]] = True
+    return chosen
+
+
+def _solve(length: int, first: bool, most: int):
+    """Contexts, sorted by key, are taken about ``most`` bytes at a time and never half a key."""
+
+    def spans(held: list[tuple]) -> pa.RecordBatch:
+        _, doc, tid, size, begin, end, raw = zip(*held, strict=True)
+        parts = [np.frombuffer(r, np.uint8) for r in raw]
+        begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+        count = np.array(end) - np.array(begin) + 1
+        of = np.repeat(np.arange(len(parts)), count)
+        inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        doc, tid, size, start = np.array(doc), np.array(tid), np.array(size), np.array(begin)[of] + inside
+        place = np.empty(len(of), np.int64)
+        place[np.lexsort((start, tid[of], doc[of]))] = np.arange(len(of))
+        chosen = repeated_starts(np.concatenate(parts), begins[of] + inside, place, length, first)
+        return spans_of(of[chosen], start[chosen], tid, size)
 
-def factors(first: bool, length: int):
-    """Indexes of the suffixes with an earlier match of ``length`` (and, unless the first copy stays, with a later one)."""
-
-    def find(symbols: np.ndarray, at: np.ndarray, doc: np.ndarray, tid: np.ndarray, start: np.ndarray) -> np.ndarray:
-        place = np.empty(len(at), np.int64)
-        place[np.lexsort((start, tid, doc))] = np.arange(len(at))
-        before, after = neighbours(suffix_ranks(symbols, at, length), place)
-        return np.flatnonzero((before >= 0) if first else (before >= 0) | (after >= 0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size >= most and row[0] != last:
+                    yield spans(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[6])
+                last = row[0]
+        if held:
+            yield spans(held)
 
-    return find
+    return run
 
 
 def _cut(length: int, first: bool):
@@ -83,8 +185,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     Null texts are empty. Rows of equal text are each other's copies. Other columns are ignored but for those of
     ``carry``, which come along as c_name.
     """
-    shape = Shape(length, anchor, words=False, first=keep_first)
-    found = repeated_spans(docs, shape, factors(keep_first, length), AT_ONCE, carry)
+    shape = Shape(length, anchor, words=False, first=keep_first, widths=WIDTHS)
+    solve = lambda contexts: contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_solve(length, keep_first, AT_ONCE), "tid long, size long, first long, last long")
+    found = repeated_spans(docs, shape, solve, carry)
     kinds = "doc_id long, n_bytes long, cuts array<struct<begin:long,end:long>>, kept_sha256 string, kept binary"
     kinds = ", ".join([kinds, *[f"`c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]])
     return found.mapInArrow(_cut(length, keep_first), kinds)

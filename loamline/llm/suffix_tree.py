@@ -8,60 +8,98 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loamline.llm.common import read_table, slices
-from loamline.llm.repeats import Shape, covered, repeated_spans
+from loamline.llm.common import checkpoint, limited, read_table, slices
+from loamline.llm.repeats import Rolling, Shape, change, covered, repeated_spans, spans_of
 
-#: Words of a window, and of an anchor; words of contexts that are taken at once.
-WINDOW, ANCHOR, AT_ONCE = 20, 4, 400_000
-#: Suffixes of one subtree at most, unless they share their whole depth.
-SUBTREE = 4096
+#: Words of a window, and of an anchor.
+WINDOW, ANCHOR = 20, 4
+#: Most windows of a run that is split once, and twice, for very common stretches.
+WIDTHS = (4, 1)
+#: Suffixes of a group at most, unless they share the whole window: a prefix that more of them have is made longer.
+SUBTREE = 50_000
 
 
-def prefix_groups(ranks: list[np.ndarray], at: np.ndarray, most: int = SUBTREE) -> np.ndarray:
-    """A group for each suffix: those that share a prefix of 1, 2, 4 ... symbols, the shortest that leaves ``most`` or fewer.
+def prefix_lengths(window: int) -> list[int]:
+    """1, 2, 4 ... words, then the whole window."""
+    return [1 << k for k in range(window.bit_length()) if 1 << k < window] + [window]
 
-    ranks[j] are the ranks of all positions by their first 2**j symbols.
-    """
-    group = np.zeros(len(at), np.int64)
-    for rank in ranks:
-        large = np.bincount(group)[group] > most
-        if not large.any():
-            break
-        _, group = np.unique(np.where(large, group * (int(rank.max()) + 2) + rank[at] + 1, group * (int(rank.max()) + 2)), return_inverse=True)
-    return group
 
+def _suffixes(window: int):
+    """Of contexts: a row for each window start, with its words and the hashes of its prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                texts = [np.frombuffer(x, np.uint64) for x in part.column("symbols").to_pylist()]
+                count = np.array([len(t) - window + 1 for t in texts])
+                of = np.repeat(np.arange(len(texts)), count)
+                begins = np.cumsum([0, *(len(t) for t in texts[:-1])])
+                inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                symbols, at = np.concatenate(texts), begins[of] + inside
+                rolling = Rolling(symbols)
+                prefixes = [rolling.of(at, n).view(np.int64) for n in prefix_lengths(window)]
+                words = np.lib.stride_tricks.sliding_window_view(symbols, window)[at]
+                raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * 8 * window).astype(np.int32)), pa.py_buffer(words.tobytes())])
+                own = [pa.array(part.column(c).to_numpy()[of]) for c in ("doc", "tid", "size")]
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(prefixes, axis=1).ravel()), len(prefixes)).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(part.column("first").to_numpy()[of] + inside), lists, raw], names=["doc", "tid", "size", "start", "prefixes", "words"])
 
-def deep_nodes(symbols: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The node at ``depth`` of each suffix in the forest of subtrees by prefix groups.
+    return run
 
-    A subtree is its suffixes in order with the depths at which neighbours part: an internal node of at least ``depth``
-    is a stretch without a shallower parting. Order and partings come from ranks of 1, 2, 4 ... symbols.
+
+def prefix_groups(suffixes: DataFrame, window: int, most: int) -> DataFrame:
+    """The suffixes with ``group``: the shortest prefix, by its hash, that ``most`` of them or fewer have, or the whole window.
+
+    Prefixes are counted with partial sums before the shuffle; those that more suffixes have are few, and are what the
+    suffixes are looked up in.
     """
-    ranks, done = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)], 1
-    while 2 * done <= depth:
-        rank = ranks[-1]
-        later = np.concatenate([rank[done:], np.zeros(min(done, len(rank)), np.int64)])
-        ranks.append(np.unique(rank * (len(rank) + 1) + later, return_inverse=True)[1].astype(np.int64))
-        done *= 2
-    group = prefix_groups(ranks, at)
-    tail = ranks[-1][at + depth - done]
-    order = np.lexsort((tail, ranks[-1][at], group))
-    parts = np.concatenate([[True], np.any([np.diff(x[order]) != 0 for x in (group, ranks[-1][at], tail)], axis=0)])
-    node = np.empty(len(at), np.int64)
-    node[order] = np.cumsum(parts) - 1
-    return node
+    lengths = prefix_lengths(window)[:-1]
+    counts = suffixes.select(F.explode(F.slice("prefixes", 1, len(lengths))).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    large = limited(checkpoint(counts.where(F.col("n") > most).select("prefix")))
+    grouped, group = suffixes, F.col("prefixes")[len(lengths)]
+    for k in reversed(range(len(lengths))):
+        grouped = grouped.join(large.select(F.col("prefix").alias(f"large_{k}")), F.col("prefixes")[k] == F.col(f"large_{k}"), "left")
+        group = F.when(F.col(f"large_{k}").isNull(), F.col("prefixes")[k]).otherwise(group)
+    return grouped.select("doc", "tid", "size", "start", "words", group.alias("group"))
+
 
+def shared_words(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Of suffixes in order, as rows of words: how many first words each shares with the one before it, ``before`` coming
+    before the first. These depths tell the subtree: a node of depth d is a stretch in which none is under d."""
+    same = words == np.concatenate([before[None], words[:-1]])
+    return np.where(same.all(axis=1), words.shape[1], np.argmin(same, axis=1))
 
-def later_copies(depth: int):
-    """Indexes of the windows whose node also holds an earlier one."""
 
-    def find(symbols: np.ndarray, at: np.ndarray, doc: np.ndarray, tid: np.ndarray, start: np.ndarray) -> np.ndarray:
-        node = deep_nodes(symbols, at, depth)
-        order = np.lexsort((start, tid, doc, node))
-        return np.sort(order[1:][np.diff(node[order]) == 0])
+def _subtrees(window: int):
+    """Suffixes in order of group, words and place come as spans of those that aren't the earliest of a deep node.
 
-    return find
+    A node as deep as the window is a repeat; its suffixes come in order of place, so all but the first have an earlier
+    one. Neighbouring starts make maximal repeats. Only the last suffix is held from batch to batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_words, last_group = np.zeros(window, np.uint64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint64).reshape(-1, window)
+            group = batch.column("group").to_numpy()
+            depth = shared_words(words, last_words)
+            inside = np.concatenate([[group[0] == last_group], group[1:] == group[:-1]])
+            last_words, last_group = words[-1], group[-1]
+            later = np.flatnonzero(inside & (depth >= window))
+            if not len(later):
+                continue
+            tid, size, start = (batch.column(c).to_numpy()[later] for c in ("tid", "size", "start"))
+            order = np.lexsort((start, size, tid))
+            _, of = np.unique(np.stack([tid[order], size[order]]), axis=1, return_inverse=True)
+            firsts = np.flatnonzero(change(of))
+            yield spans_of(of, start[order], tid[order][firsts], size[order][firsts])
+
+    return run
 
 
 def _cut(length: int):
@@ -87,19 +125,26 @@ def _cut(length: int):
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, subtree: int = SUBTREE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept of each row: the words left without later copies of windows.
 
     Words stand between ASCII whitespace. A word goes if a window of ``window`` words that covers it also starts earlier:
     in a document of smaller doc_id (null last; then by the text's hash), or before it in its own. Windows never cross
     documents and are judged on the input. ``kept`` joins the words left by blanks, and is null where none goes.
 
-    Suffixes are dealt out by a hash that all equal windows share, then by prefixes as long as it takes to make groups of
-    at most ``SUBTREE`` suffixes; each group's subtree gives its nodes of window depth, whose earliest suffix stays.
+    Stretches that may repeat are found by ``repeated_spans``. Their suffixes are dealt to groups by prefixes, each as long
+    as it takes to leave at most ``subtree`` suffixes in a group, and sorted there; the depths that neighbours share
+    make the group's subtree, whose nodes as deep as a window are the repeats.
     Words are told apart by 64-bit hashes. Null texts have no words. Rows of equal text and id are one document.
     """
-    shape = Shape(window, anchor, words=True, first=True)
-    found = repeated_spans(docs, shape, later_copies(window), AT_ONCE)
+    shape = Shape(window, anchor, words=True, first=True, widths=WIDTHS)
+
+    def solve(contexts: DataFrame) -> DataFrame:
+        suffixes = checkpoint(contexts.mapInArrow(_suffixes(window), "doc long, tid long, size long, start long, prefixes array<long>, words binary"))
+        grouped = prefix_groups(suffixes, window, subtree).repartition("group").sortWithinPartitions("group", "words", "doc", "tid", "start")
+        return grouped.mapInArrow(_subtrees(window), "tid long, size long, first long, last long")
+
+    found = repeated_spans(docs, shape, solve)
     return found.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 

@@ -155,29 +155,69 @@ def test_cut_documents_keep_columns_and_lose_empty_ones(spark):
     assert found == {1: (text, 0), 3: ("tail é ", 7), 4: ("clean", 0), 5: (None, 0)}
 
 
-def test_longest_previous_factors_of_a_string():
-    text = np.frombuffer(b"abcabcabdabc", np.uint8)
-    at = np.arange(len(text) - 2)
-    before, after = suffix_array.neighbours(repeats.suffix_ranks(text, at, 3), at)
-    strings = [bytes(text[i : i + 3]) for i in at]
-    assert [b >= 0 for b in before] == [s in strings[:i] for i, s in enumerate(strings)]
-    assert [a >= 0 for a in after] == [s in strings[i + 1 :] for i, s in enumerate(strings)]
-
-
-@pytest.mark.parametrize("dtype", [np.uint8, np.uint64])
-def test_suffix_ranks_are_lexicographic(dtype):
-    symbols = np.random.default_rng(2).integers(97, 100, 300).astype(dtype)
-    for depth in (1, 3, 8, 13, 20):
-        at = np.arange(len(symbols) - depth + 1)
-        strings = [tuple(symbols[i : i + depth]) for i in at]
-        names = {s: i for i, s in enumerate(sorted(set(strings)))}
-        ranks = repeats.suffix_ranks(symbols, at, depth)
-        assert np.unique(ranks, return_inverse=True)[1].tolist() == [names[s] for s in strings]
-
-
-@pytest.mark.parametrize(("window", "anchor", "subtree"), [(20, 4, 4096), (20, 4, 2), (7, 2, 3)])
-def test_repeated_windows_equal_brute_force(spark, monkeypatch, window, anchor, subtree):
-    monkeypatch.setattr(suffix_tree, "SUBTREE", subtree)
+@pytest.mark.parametrize(("seed", "letters", "depth"), [(1, 2, 5), (2, 3, 8), (3, 2, 13), (4, 4, 20), (5, 1, 40)])
+def test_longest_previous_factors_equal_brute_force(seed, letters, depth):
+    symbols = np.random.default_rng(seed).integers(97, 97 + letters, 400).astype(np.uint8)
+    at = np.sort(np.random.default_rng(seed).permutation(len(symbols) - depth)[:250])
+    place = np.random.default_rng(seed + 9).permutation(len(at))
+    rank, levels = suffix_array.suffix_order(symbols, at, depth)
+    strings = [bytes(symbols[i : i + depth]) for i in at]
+    names = {s: i for i, s in enumerate(sorted(set(strings)))}
+    assert np.unique(rank, return_inverse=True)[1].tolist() == [names[s] for s in strings]
+    order = np.lexsort((place, rank))
+    common = lambda a, b: next((k for k in range(depth) if a[k] != b[k]), depth)
+    lcp = suffix_array.common_prefixes(levels, at[order], depth)
+    assert lcp.tolist() == [0] + [common(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False)]
+    factors, source = suffix_array.longest_previous_factors(order, lcp, place)
+    for i in range(len(at)):
+        earlier = [common(strings[i], strings[j]) for j in range(len(at)) if place[j] < place[i]]
+        assert factors[i] == max(earlier, default=0)
+        assert source[i] == -1 if factors[i] == 0 else place[source[i]] < place[i] and common(strings[i], strings[source[i]]) == factors[i]
+    starts = suffix_array.repeated_starts(symbols, at, place, depth, False)
+    assert starts.tolist() == [strings.count(x) > 1 for x in strings]
+
+
+def test_no_suffixes():
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in suffix_array.longest_previous_factors(none, none, none)] == [0, 0]
+
+
+def split_hot_keys(monkeypatch):
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "HOT", 2)
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    monkeypatch.setattr(repeats, "ROWS_AT_ONCE", 50)
+
+
+@pytest.mark.parametrize("length", [400, 100])
+def test_common_passages_and_long_texts_are_split_without_a_change(spark, monkeypatch, length):
+    split_hot_keys(monkeypatch)
+    texts = corpus(11)
+    assert digest(suffix_array.remove_repeats(documents(spark, texts), length)) == brute_bytes(texts, length, False)
+
+
+def test_runs_of_hot_keys_cover_the_same_windows():
+    rng = np.random.default_rng(3)
+    symbols = np.concatenate([rng.integers(97, 99, 900), np.tile(rng.integers(97, 123, 30), 20)]).astype(np.uint8)
+    ends = np.array([500, 1100, 1500])
+    shape = repeats.Shape(60, 8, False, True, (9, 2))
+    whole = repeats.runs(symbols, ends, shape)
+    once = repeats.runs(symbols, ends, shape, (np.unique(whole[0].view(np.uint64)),))
+    twice = repeats.runs(symbols, ends, shape, (np.unique(whole[0].view(np.uint64)), np.unique(once[0].view(np.uint64))))
+    windows = lambda found: sorted(w for a, b in zip(found[2], found[3], strict=True) for w in range(a, b + 1))
+    valid = [i for i in range(1441) if not any(i < e < i + 60 for e in ends[:-1])]
+    for found, most in ((whole, 60), (once, 9), (twice, 2)):
+        assert windows(found) == valid and (found[3] - found[2] < most).all()
+        keys = {}
+        for key, a, b in zip(found[0], found[2], found[3], strict=True):
+            for w in range(a, b + 1):
+                assert keys.setdefault(bytes(symbols[w : w + 60]), key) == key
+
+
+@pytest.mark.parametrize(("window", "anchor", "subtree", "split"), [(20, 4, 4096, False), (20, 4, 2, True), (7, 2, 3, False)])
+def test_repeated_windows_equal_brute_force(spark, monkeypatch, window, anchor, subtree, split):
+    if split:
+        split_hot_keys(monkeypatch)
     texts = corpus(9)
     split = {i: (t or "").encode().split() for i, (_, t) in enumerate(texts)}
     first = {}
@@ -194,7 +234,7 @@ def test_repeated_windows_equal_brute_force(spark, monkeypatch, window, anchor,
                 covered[s : s + window] = True
         kept = b" ".join(w for w, c in zip(words, covered, strict=True) if not c)
         wanted[(texts[i][0], len(words), int(covered.sum()), hashlib.sha256(kept).hexdigest())] += 1
-    found = suffix_tree.remove_repeated_windows(documents(spark, texts), window, anchor)
+    found = suffix_tree.remove_repeated_windows(documents(spark, texts), window, anchor, subtree)
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found.collect()) == wanted
 
 

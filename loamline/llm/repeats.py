@@ -14,6 +14,7 @@ changes no result, only which task solves what.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.common import WordHashes, checkpoint, limited, mix, slices
+from loamline.plans.lineage import remove, shared_folder
 
 MASK = np.uint64((1 << 24) - 1)
 BASE = 0xD1342543DE82EF95
@@ -327,7 +329,8 @@ def repeated_spans(docs: DataFrame, shape: Shape, solve: Callable, carry: tuple[
 
     spans are the (first, last) starts of repeated windows in the text, as ``shape.first`` counts them. Equal texts are
     one text with the smallest doc_id (null comes last), of whose rows one alone is scanned. ``solve`` takes contexts
-    (key, doc, tid, size, first, last, symbols) and gives spans (tid, size, first, last) of their windows.
+    (key, doc, tid, size, first, last, symbols) and a shared folder, which may hold a table until its result is kept, and
+    gives spans (tid, size, first, last) of their windows.
     """
     last = F.lit((1 << 63) - 1)
     texts = docs.select(
@@ -351,9 +354,11 @@ def repeated_spans(docs: DataFrame, shape: Shape, solve: Callable, carry: tuple[
     asked = groups.where("ask").groupBy("doc", "tid", "size").agg(F.collect_list(F.struct("key", "first", "last")).alias("asked"))
     contexts = once.hint("shuffle_merge").join(asked, ["doc", "tid", "size"]).mapInArrow(_contexts(shape), "key long, doc long, tid long, size long, first long, last long, symbols binary")
 
-    spans = groups.where("settled").select("tid", "size", "first", "last").unionByName(solve(contexts))
+    folder = f"{shared_folder(docs.sparkSession)}/suffixes-{uuid.uuid4().hex}"
+    spans = groups.where("settled").select("tid", "size", "first", "last").unionByName(solve(contexts, folder))
     spans = spans.groupBy("tid", "size").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = checkpoint(spans.mapInArrow(_merge(shape.length), "tid long, size long, spans array<struct<first:long,last:long>>"))
+    remove(docs.sparkSession, folder)
     held = spans.agg(F.sum(F.size("spans") * 16 + 48)).first()[0] or 0
     spans = F.broadcast(spans) if held <= BROADCAST_BYTES else spans
     return texts.join(spans, ["tid", "size"], "left").select(

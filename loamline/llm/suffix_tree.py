@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.llm.common import checkpoint, limited, read_table, slices
-from loamline.llm.repeats import Rolling, Shape, change, covered, repeated_spans, spans_of
+from loamline.llm.repeats import Shape, change, covered, repeated_spans, spans_of
 
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 20, 4
@@ -27,7 +27,7 @@ def prefix_lengths(window: int) -> list[int]:
 
 
 def _suffixes(window: int):
-    """Of contexts: a row for each window start, with its words and the hashes of its prefixes."""
+    """Of contexts: a row for each window start, with its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,13 +39,10 @@ def _suffixes(window: int):
                 begins = np.cumsum([0, *(len(t) for t in texts[:-1])])
                 inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
                 symbols, at = np.concatenate(texts), begins[of] + inside
-                rolling = Rolling(symbols)
-                prefixes = [rolling.of(at, n).view(np.int64) for n in prefix_lengths(window)]
                 words = np.lib.stride_tricks.sliding_window_view(symbols, window)[at]
                 raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * 8 * window).astype(np.int32)), pa.py_buffer(words.tobytes())])
                 own = [pa.array(part.column(c).to_numpy()[of]) for c in ("doc", "tid", "size")]
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(prefixes, axis=1).ravel()), len(prefixes)).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own, pa.array(part.column("first").to_numpy()[of] + inside), lists, raw], names=["doc", "tid", "size", "start", "prefixes", "words"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(part.column("first").to_numpy()[of] + inside), raw], names=["doc", "tid", "size", "start", "words"])
 
     return run
 
@@ -56,13 +53,13 @@ def prefix_groups(suffixes: DataFrame, window: int, most: int) -> DataFrame:
     Prefixes are counted with partial sums before the shuffle; those that more suffixes have are few, and are what the
     suffixes are looked up in.
     """
-    lengths = prefix_lengths(window)[:-1]
-    counts = suffixes.select(F.explode(F.slice("prefixes", 1, len(lengths))).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    prefixes = {n: F.xxhash64(F.substring("words", 1, 8 * n), F.lit(n)) for n in prefix_lengths(window)}
+    counts = suffixes.select(F.explode(F.array(*list(prefixes.values())[:-1])).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
     large = limited(checkpoint(counts.where(F.col("n") > most).select("prefix")))
-    grouped, group = suffixes, F.col("prefixes")[len(lengths)]
-    for k in reversed(range(len(lengths))):
-        grouped = grouped.join(large.select(F.col("prefix").alias(f"large_{k}")), F.col("prefixes")[k] == F.col(f"large_{k}"), "left")
-        group = F.when(F.col(f"large_{k}").isNull(), F.col("prefixes")[k]).otherwise(group)
+    grouped, group = suffixes, prefixes[window]
+    for n in sorted(prefixes)[-2::-1]:
+        grouped = grouped.join(large.select(F.col("prefix").alias(f"large_{n}")), prefixes[n] == F.col(f"large_{n}"), "left")
+        group = F.when(F.col(f"large_{n}").isNull(), prefixes[n]).otherwise(group)
     return grouped.select("doc", "tid", "size", "start", "words", group.alias("group"))
 
 
@@ -139,8 +136,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int =
     """
     shape = Shape(window, anchor, words=True, first=True, widths=WIDTHS)
 
-    def solve(contexts: DataFrame) -> DataFrame:
-        suffixes = checkpoint(contexts.mapInArrow(_suffixes(window), "doc long, tid long, size long, start long, prefixes array<long>, words binary"))
+    def solve(contexts: DataFrame, folder: str) -> DataFrame:
+        contexts.mapInArrow(_suffixes(window), "doc long, tid long, size long, start long, words binary").write.parquet(folder)
+        suffixes = contexts.sparkSession.read.parquet(folder)  # neighbours share most words, so it compresses well, unlike a checkpoint
         grouped = prefix_groups(suffixes, window, subtree).repartition("group").sortWithinPartitions("group", "words", "doc", "tid", "start")
         return grouped.mapInArrow(_subtrees(window), "tid long, size long, first long, last long")
 

@@ -29,7 +29,7 @@ from loamline.plans.lineage import remove, shared_folder
 MASK = np.uint64((1 << 24) - 1)
 BASE = 0xD1342543DE82EF95
 #: Symbols that are handled at once; a longer text is handled in overlapping pieces.
-PIECE = 800_000
+PIECE = 400_000
 #: Bytes of span lists that are broadcast at most; beyond, that join shuffles.
 BROADCAST_BYTES = 32 << 20
 #: One text in so many is looked through for keys to split: those with at least ``HOT`` contexts there, and one in
@@ -350,12 +350,14 @@ def repeated_spans(docs: DataFrame, shape: Shape, solve: Callable, carry: tuple[
 
     found = once.mapInArrow(_scan(shape, hot_keys(once, shape)), "key long, context long, doc long, tid long, size long, first long, last long, copies long")
     found = found.repartition("key").sortWithinPartitions("key")
-    groups = checkpoint(found.mapInArrow(_groups(shape), "key long, doc long, tid long, size long, first long, last long, settled boolean, ask boolean"))
+    folder = f"{shared_folder(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"
+    found = found.mapInArrow(_groups(shape), "key long, doc long, tid long, size long, first long, last long, settled boolean, ask boolean")
+    found.write.parquet(f"{folder}/groups")  # neighbours are alike, so columns compress well, unlike a checkpoint
+    groups = docs.sparkSession.read.parquet(f"{folder}/groups")
     asked = groups.where("ask").groupBy("doc", "tid", "size").agg(F.collect_list(F.struct("key", "first", "last")).alias("asked"))
     contexts = once.hint("shuffle_merge").join(asked, ["doc", "tid", "size"]).mapInArrow(_contexts(shape), "key long, doc long, tid long, size long, first long, last long, symbols binary")
 
-    folder = f"{shared_folder(docs.sparkSession)}/suffixes-{uuid.uuid4().hex}"
-    spans = groups.where("settled").select("tid", "size", "first", "last").unionByName(solve(contexts, folder))
+    spans = groups.where("settled").select("tid", "size", "first", "last").unionByName(solve(contexts, f"{folder}/contexts"))
     spans = spans.groupBy("tid", "size").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = checkpoint(spans.mapInArrow(_merge(shape.length), "tid long, size long, spans array<struct<first:long,last:long>>"))
     remove(docs.sparkSession, folder)

@@ -18,7 +18,7 @@ WINDOW, ANCHOR = 20, 4
 #: Most windows of a run that is split once, and twice, for very common stretches.
 WIDTHS = (4, 1)
 #: Suffixes of a group at most, unless they share the whole window: a prefix that more of them have is made longer.
-SUBTREE = 50_000
+SUBTREE = 4096
 
 
 def prefix_lengths(window: int) -> list[int]:

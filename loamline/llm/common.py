@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +12,7 @@ from loamline.plans.lineage import checkpoint
 
 __all__ = [
     "ALNUM_GAP", "ALNUM_TABLE", "SPACE_CLASS", "SPACE_WORD", "WordHashes", "alnum_words", "ascii_lower", "checkpoint",
-    "count_space_words", "limited", "mix", "read_table", "slices", "space_words",
+    "count_space_words", "by_position", "limited", "mix", "read_table", "slices", "space_words", "text_hash",
 ]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -52,6 +52,18 @@ def count_space_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
+def by_position(docs: DataFrame) -> tuple[DataFrame, Column, Column, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns named d0, d1 ..., so that no name clashes with others; its id and text; and what names rows back."""
+    names = docs.columns
+    own = lambda c: F.col(f"d{names.index(c)}")
+    return docs.toDF(*[f"d{i}" for i in range(len(names))]), own("doc_id"), own("text"), lambda rows: rows.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names)])
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id apart by their text; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import checkpoint, limited, read_table, space_words
+from loamline.llm.common import by_position, checkpoint, limited, read_table, space_words
 
 #: Words of a repeat window.
 REPEAT = 5
@@ -46,15 +46,21 @@ def _covered_by_repeats(grams: Column) -> Column:
     return total["n"].cast("long")
 
 
+def judged_by(*columns: Column) -> Column:
+    """A hash of what a row's verdict hangs on; nulls are values of their own but for the text, where they are empty."""
+    text, *others = columns
+    return F.xxhash64(F.coalesce(text, F.lit("")), *[x for c in others for x in (F.coalesce(c, F.lit("")), c.isNull())])
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of each row.
+    """doc_id, row (a hash of the text, lang and source), lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of each row.
 
     A null text has no words; its counts are 0, and it fails the base rule, as each text of under 10 words does.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     made = docs.select(
-        F.monotonically_increasing_id().alias("uid"), "doc_id", "lang", "source",
+        F.monotonically_increasing_id().alias("uid"), "doc_id", judged_by(F.col("text"), F.col("lang"), F.col("source")).alias("row"), "lang", "source",
         space_words(F.col("text")).alias("words"),
         F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -63,7 +69,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     made = made.select("*", repeated_words(F.col("words")).alias("grams"))
     repeats = F.size("grams") > F.size(F.array_distinct("grams"))
     made = made.select(
-        "uid", "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        "uid", "doc_id", "row", "lang", "source", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
         F.when(repeats, _covered_by_repeats(F.col("grams"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -191,21 +197,24 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int =
     ).join(best, F.col("grp") == F.col("b_grp"), "left")
     distance = _distance() / CONSISTENCY
     return named.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.coalesce(distance > cutoff, F.lit(False))).alias("kept"),
         F.round(distance, 3).alias("distance"),
     )
 
 
 def keep_quality(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that are not kept, all columns as they are.
+    """``docs`` without the rows that are not kept, all columns as they are.
 
-    Rows that share a doc_id (null is one) go if one of them is not kept.
+    Each row goes by its own verdict, whatever its doc_id: rows are matched to verdicts by doc_id (null is one), text,
+    language and source, on which a verdict hangs.
     """
-    bad = limited(checkpoint(quality_verdicts(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("q_id")).distinct()))
-    return docs.join(bad, F.col("q_id").eqNullSafe(docs["doc_id"]), "left_anti")
+    bad = quality_verdicts(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("q_id"), F.col("row").alias("q_row")).distinct()
+    plain, doc_id, text, named = by_position(docs)
+    row = judged_by(text, *[F.col(f"d{docs.columns.index(c)}") for c in ("lang", "source")])
+    return named(plain.join(limited(checkpoint(bad)), doc_id.eqNullSafe(F.col("q_id")) & (row == F.col("q_row")), "left_anti"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns of ``quality_verdicts`` over whole ``documents``."""
-    return quality_verdicts(read_table(spark, sf_dir, "documents")).drop("distance")
+    return quality_verdicts(read_table(spark, sf_dir, "documents")).drop("distance", "row")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loamline.llm import components as cc
 from loamline.llm import jaccard_join, repeats, suffix_array, suffix_tree
@@ -82,20 +83,58 @@ def test_groups_beyond_a_task_are_compared_in_parts(spark, monkeypatch):
     assert Counter(map(tuple, found.collect())) == brute_components(texts, 4, 85)
 
 
-def test_sparse_counts_equal_dense_ones():
-    rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
-    dense = set(jaccard_join.similar_pairs(sets, 40))
-    shifted = [np.concatenate([s, np.arange(200_000, dtype=np.uint64) + np.uint64(1000 + 200_000 * i)]) for i, s in enumerate(sets)]
-    assert dense == {(i, j) for i in range(30) for j in range(i + 1, 30) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 40 * len(np.union1d(sets[i], sets[j]))}
-    assert not list(jaccard_join.similar_pairs(shifted, 40))
+NOTHING = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
 
+@pytest.mark.parametrize(("seed", "percent"), [(1, 40), (2, 60), (3, 85)])
+def test_links_connect_what_similar_pairs_connect(seed, percent):
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 1 << 63, 40).astype(np.uint64) for _ in range(6)]
+    sets = []
+    for i in range(60):
+        own = base[i % 6].copy()
+        own[rng.integers(0, 40, i % 20)] = rng.integers(0, 1 << 63, i % 20).astype(np.uint64)
+        sets.append(np.unique(own))
+    frequent, n = np.unique(np.concatenate(sets), return_counts=True)
+    known = (frequent[n > 3], n[n > 3].astype(np.uint64))
+    classes = [0 if i in (5, 11) else i + 1 for i in range(60)]
+    alike = [(i, j) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
+    a, b = jaccard_join.similar_links(list(range(60)), sets, classes, percent, known)
+    assert all((max(x, y), min(x, y)) in alike for x, y in zip(a, b, strict=True))
+    label = lambda pairs: cc.roots(*(np.array(x, int) for x in zip(*[*pairs, (5, 11)], strict=True)), 60).tolist()
+    assert label(list(zip(a, b, strict=True))) == label(alike)
 
-def test_keep_one_leaves_one_of_a_class_and_all_columns(spark):
-    docs = documents(spark, [(2, "a b c d e f"), (1, "a b c d e f"), (3, "x y"), (4, None), (5, "")])
+
+def test_a_family_of_near_copies_costs_few_verifications(monkeypatch):
+    rng = np.random.default_rng(1)
+    base, sets = np.sort(rng.integers(0, 1 << 63, 60).astype(np.uint64)), []
+    for _ in range(3000):
+        own = base.copy()
+        own[rng.integers(0, 60)] = rng.integers(0, 1 << 63)
+        sets.append(np.unique(own))
+    calls = []
+    exact = np.intersect1d
+    monkeypatch.setattr(np, "intersect1d", lambda *x, **k: calls.append(1) or exact(*x, **k))
+    a, _ = jaccard_join.similar_links(list(range(3000)), sets, list(range(3000)), 85, NOTHING)
+    assert len(a) == 2999 and len(calls) < 2 * 3000
+
+
+def test_only_the_most_frequent_shingles_are_known(spark):
+    counted = spark.createDataFrame([(t,) for t in [1] * 9 + [2] * 9 + [3] * 4 + [4]], "token long")
+    for most, wanted in ((10, [1, 2, 3]), (2, [1, 2]), (1, [])):
+        assert jaccard_join.frequent_shingles(counted, most).value[0].tolist() == wanted
+
+
+def test_keep_one_leaves_one_row_of_a_class_and_all_columns(spark):
+    texts = [(2, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (1, "other words here"), (3, "x y"), (4, None), (5, ""), (None, "x y"), (None, "q r"), (None, "q r"), (None, None)]
+    docs = documents(spark, texts)
     kept = jaccard_join.keep_one(docs)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert found == sorted([(1, "a b c d e f"), (1, "other words here"), (3, "x y"), (4, None), (5, ""), (None, "q r"), (None, None)], key=str)
     assert kept.columns == docs.columns
+    clashing = docs.withColumn("best", F.lit(1)).withColumn("row", F.lit(2)).withColumn("m_id", F.lit(3))
+    assert jaccard_join.keep_one(clashing).count() == len(found)
+    assert jaccard_join.jaccard_components(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).where("component_id = 'd1'").count() == 4
 
 
 @pytest.mark.parametrize("one_task", [1_000_000, 0])

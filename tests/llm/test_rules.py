@@ -131,6 +131,56 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert not by_id(quality.quality_verdicts(documents(spark, [(1, None), (1, None)])))[1]["kept"]
 
 
+def brute_distances(x):
+    """Minimum covariance determinant by concentration steps from two starts, with matrices."""
+    x = x / quality.UNIT
+    floors = np.diag([f**2 for f in quality.STATISTICS.values()])
+
+    def shape(rows):
+        return rows.mean(axis=0), np.cov(rows.T, bias=True) + floors
+
+    def distances(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    low, high = (np.sort(x, axis=0)[int(np.ceil(q * len(x))) - 1] for q in (0.25, 0.75))
+    found = []
+    for rows in (x, x[np.all((x >= low) & (x <= high), axis=1)]):
+        m, c = shape(rows)
+        for _ in range(quality.STEPS):
+            step = np.floor(np.log(distances(m, c) + 1e-6) * 64)
+            cut = np.sort(step)[int(np.ceil(quality.SHARE * len(x))) - 1]
+            m, c = shape(x[step <= cut])
+        found.append((np.linalg.slogdet(c)[1], m, c))
+    _, m, c = min(found, key=lambda f: f[0])
+    return distances(m, c) / quality.CONSISTENCY
+
+
+def test_distances_equal_a_brute_force_determinant(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "abcdefgh"[: rng.integers(1, 8)] + "#" * int(rng.integers(0, 8) == 0) + str(rng.integers(2000))
+    texts = [(i, ("\n" if i % 3 else " ").join([word() for _ in range(60)] + ["again"] * (i % 5))) for i in range(240)]
+    docs = documents(spark, texts)
+    rows = quality.text_statistics(docs).where("not base_failed").select("doc_id", quality._vector().alias("x")).collect()
+    wanted = dict(zip([r["doc_id"] for r in rows], brute_distances(np.array([r["x"] for r in rows], float)), strict=True))
+    found = by_id(quality.quality_verdicts(docs))
+    assert len(wanted) > 100
+    for i, d in wanted.items():
+        assert abs(found[i]["distance"] - d) < 0.01 + 1e-3 * d
+        assert found[i]["kept"] == (d <= quality.CUTOFF)
+
+
+def test_rows_without_an_id_go_by_themselves(spark):
+    clean = [(None, " ".join(f"w{i * 7 % 1000}x{j}" for j in range(40))) for i in range(80)]
+    docs = documents(spark, [*clean, (None, "too short"), (None, None), (7, "too short"), (7, clean[0][1])])
+    assert Counter(r["doc_id"] for r in quality.keep_quality(docs).collect()) == {None: 80, 7: 1}
+    bench = spark.createDataFrame([(1, "too short")], "item_id long, text string")
+    for clashing in (docs, docs.withColumn("d0", F.lit(1)).withColumn("row", F.lit(2)).withColumn("h_id", F.lit(3))):
+        kept = decontaminate.decontaminate(clashing, bench)
+        assert kept.columns == clashing.columns and Counter(r["doc_id"] for r in kept.collect()) == {None: 81, 7: 1}
+        spans = decontaminate.decontaminate(clashing, bench, mode="spans")
+        assert spans.columns == clashing.columns and Counter(r["text"] for r in spans.collect())[""] == 2
+
+
 def record(spark, rows):
     kind = "record_id long, url string, ts long, status int, headers array<struct<name:string,value:string>>, payload string, key string, ref_id long"
     return spark.createDataFrame([(*r, "k", 5) for r in rows], kind)

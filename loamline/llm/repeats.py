@@ -35,6 +35,8 @@ BROADCAST_BYTES = 32 << 20
 #: One text in so many is looked through for keys to split: those with at least ``HOT`` contexts there, and one in
 #: ``MOST_HOT`` of all contexts there, so there are ``MOST_HOT`` (8 bytes each) at most. No result depends on it.
 SAMPLE, HOT, MOST_HOT = 16, 16, 500_000
+#: Words whose hashes a task remembers.
+MEMORY = 200_000
 #: Rows of sorted runs that are grouped at once.
 ROWS_AT_ONCE = 1_000_000
 
@@ -182,7 +184,7 @@ def _scan(shape: Shape, hot) -> Callable:
     names = ["key", "context", "doc", "tid", "size", "first", "last", "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(MEMORY)
         for batch in slices(batches, most_bytes=1_000_000):
             texts = [shape.symbols(hashes, t) for t in batch.column("text").to_pylist()]
             own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tid", "size")]
@@ -256,7 +258,7 @@ def _sampled(shape: Shape, hot) -> Callable:
     """(key, context) of the runs, split by the keys that are known so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(MEMORY)
         for batch in slices(batches, most_bytes=1_000_000):
             texts = [shape.symbols(hashes, t) for t in batch.column("text").to_pylist()]
             for symbols, ends, _ in _pieces(texts, shape.length):
@@ -283,11 +285,14 @@ def hot_keys(texts: DataFrame, shape: Shape):
     return context.broadcast(found)
 
 
+CONTEXTS = "key long, doc long, tid long, size long, first long, last long, symbols binary"
+
+
 def _contexts(shape: Shape) -> Callable:
     """The symbols of each asked run: (key, doc, tid, size, first, last, symbols)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(MEMORY)
         for batch in slices(batches, most_bytes=1_000_000):
             out = []
             columns = (batch.column(c).to_pylist() for c in ("text", "doc", "tid", "size", "asked"))
@@ -328,9 +333,9 @@ def repeated_spans(docs: DataFrame, shape: Shape, solve: Callable, carry: tuple[
     the columns of ``carry`` as c_name.
 
     spans are the (first, last) starts of repeated windows in the text, as ``shape.first`` counts them. Equal texts are
-    one text with the smallest doc_id (null comes last), of whose rows one alone is scanned. ``solve`` takes contexts
-    (key, doc, tid, size, first, last, symbols) and a shared folder, which may hold a table until its result is kept, and
-    gives spans (tid, size, first, last) of their windows.
+    one text with the smallest doc_id (null comes last), of whose rows one alone is scanned. ``solve`` takes texts with the
+    runs that are asked of them, the function of Arrow batches that makes contexts (``CONTEXTS``) of these, and a shared
+    folder, which may hold a table until its result is kept, and gives spans (tid, size, first, last) of their windows.
     """
     last = F.lit((1 << 63) - 1)
     texts = docs.select(
@@ -355,9 +360,9 @@ def repeated_spans(docs: DataFrame, shape: Shape, solve: Callable, carry: tuple[
     found.write.parquet(f"{folder}/groups")  # neighbours are alike, so columns compress well, unlike a checkpoint
     groups = docs.sparkSession.read.parquet(f"{folder}/groups")
     asked = groups.where("ask").groupBy("doc", "tid", "size").agg(F.collect_list(F.struct("key", "first", "last")).alias("asked"))
-    contexts = once.hint("shuffle_merge").join(asked, ["doc", "tid", "size"]).mapInArrow(_contexts(shape), "key long, doc long, tid long, size long, first long, last long, symbols binary")
+    asked = once.hint("shuffle_merge").join(asked, ["doc", "tid", "size"])
 
-    spans = groups.where("settled").select("tid", "size", "first", "last").unionByName(solve(contexts, f"{folder}/contexts"))
+    spans = groups.where("settled").select("tid", "size", "first", "last").unionByName(solve(asked, _contexts(shape), f"{folder}/contexts"))
     spans = spans.groupBy("tid", "size").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = checkpoint(spans.mapInArrow(_merge(shape.length), "tid long, size long, spans array<struct<first:long,last:long>>"))
     remove(docs.sparkSession, folder)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.llm.common import read_table, slices
-from loamline.llm.repeats import Shape, covered, repeated_spans, spans_of
+from loamline.llm.repeats import CONTEXTS, Shape, covered, repeated_spans, spans_of
 
 #: Bytes of a repeated string, and of an anchor; bytes of contexts that are sorted at once.
 LENGTH, ANCHOR, AT_ONCE = 400, 32, 800_000
@@ -186,7 +186,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     ``carry``, which come along as c_name.
     """
     shape = Shape(length, anchor, words=False, first=keep_first, widths=WIDTHS)
-    solve = lambda contexts, _: contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_solve(length, keep_first, AT_ONCE), "tid long, size long, first long, last long")
+    solve = lambda asked, contexts, _: asked.mapInArrow(contexts, CONTEXTS).repartition("key").sortWithinPartitions("key").mapInArrow(_solve(length, keep_first, AT_ONCE), "tid long, size long, first long, last long")
     found = repeated_spans(docs, shape, solve, carry)
     kinds = "doc_id long, n_bytes long, cuts array<struct<begin:long,end:long>>, kept_sha256 string, kept binary"
     kinds = ", ".join([kinds, *[f"`c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]])

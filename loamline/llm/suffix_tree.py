@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,9 +136,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int =
     """
     shape = Shape(window, anchor, words=True, first=True, widths=WIDTHS)
 
-    def solve(contexts: DataFrame, folder: str) -> DataFrame:
-        contexts.mapInArrow(_suffixes(window), "doc long, tid long, size long, start long, words binary").write.parquet(folder)
-        suffixes = contexts.sparkSession.read.parquet(folder)  # neighbours share most words, so it compresses well, unlike a checkpoint
+    def solve(asked: DataFrame, contexts: Callable, folder: str) -> DataFrame:
+        cut = _suffixes(window)
+        asked.mapInArrow(lambda batches: cut(contexts(batches)), "doc long, tid long, size long, start long, words binary").write.parquet(folder)  # both steps in one worker
+        suffixes = asked.sparkSession.read.parquet(folder)  # neighbours share most words, so it compresses well, unlike a checkpoint
         grouped = prefix_groups(suffixes, window, subtree).repartition("group").sortWithinPartitions("group", "words", "doc", "tid", "start")
         return grouped.mapInArrow(_subtrees(window), "tid long, size long, first long, last long")
 

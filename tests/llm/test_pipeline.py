@@ -1,5 +1,9 @@
 """The registered queries against their SQL, and the pipeline's stages in order."""
 
+import os
+import random
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -44,3 +48,42 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert 0 < len(ids) < first.count()
     whole = {(r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, str(DATA)).collect()}
     assert whole == {(r["doc_id"], r["taken"]) for r in docs.collect()}
+
+
+def test_passages_of_just_over_fifty_words_are_cut_where_they_come_again(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    passages = [words(51) for _ in range(5)]
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    texts = [(i, f"{words(60)} {passages[i % 5]} {words(60)}" if i % 2 else f"{notice} {words(120)}", "en", "s", 0) for i in range(60)]
+    found = corpus_pipeline.suffix_array_dedup(spark, spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    found = {r["doc_id"]: r["text"] for r in found.collect()}
+    assert all(found[i] == text for i, text, *_ in texts if i % 2 == 0 or i < 10)
+    for p in passages:
+        assert [i for i, text in found.items() if p in text] == [next(i for i, text, *_ in texts if p in text)]
+        assert all(p[5:-5] not in text for i, text in found.items() if i >= 10)
+
+
+FOREIGN = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {folder!r})
+         .config("spark.executorEnv.PYTHONPATH", "").getOrCreate())
+spark.sparkContext.setLogLevel("ERROR")
+from loamline.llm import queries
+seen = spark.range(1).mapInArrow(lambda rows: [__import__("pyarrow").RecordBatch.from_pydict({{"x": [str(__import__("importlib.util").util.find_spec("loamline"))]}}) for _ in rows], "x string").first()[0]
+assert seen == "None", seen
+for name in {names!r}:
+    print(name, queries.QUERIES[name](spark, {data!r}).count())
+print("all done")
+"""
+
+
+@needs_data
+def test_workers_need_no_package(tmp_path):
+    names = [n for n in queries.QUERIES if n not in ("op3_licenses", "op6_quality", "op9_warc", "op10_decontaminate")]  # those have no Python workers
+    script = FOREIGN.format(repo=str(Path(corpus_pipeline.__file__).parent), folder=str(tmp_path / "shared"), names=names, data=str(DATA))
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "all done" in done.stdout, done.stderr[-3000:]

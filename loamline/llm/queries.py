@@ -8,7 +8,7 @@ from loamline.llm.licenses import OP3_SQL, op3_licenses
 from loamline.llm.mixing import op5_mixing
 from loamline.llm.lm_scoring import op1_lm_scoring
 from loamline.llm.quality import op6_quality
-from loamline.llm.suffix_array import op7_suffix_array
+from loamline.llm.suffix_array import OP7_SQL, op7_suffix_array
 from loamline.llm.suffix_tree import OP8_SQL, op8_suffix_tree
 from loamline.llm.toxicity import op4_toxicity
 from loamline.llm.warc import OP9_SQL, op9_warc
@@ -27,6 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_jaccard_join": OP2_SQL,
+    "op7_suffix_array": OP7_SQL,
     "op8_suffix_tree": OP8_SQL,
     "op3_licenses": OP3_SQL,
     "op9_warc": OP9_SQL,

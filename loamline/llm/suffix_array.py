@@ -218,3 +218,22 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("cuts").cast("long").alias("n_spans"), "kept_sha256"
     )
+
+
+#: The same rows for DuckDB: all windows by their MD5, runs of those that come twice, and what lies between.
+OP7_SQL = """
+WITH t AS (SELECT doc_id, row_number() OVER () AS uid, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT uid, i, md5_number(b[i:i + 399]) AS h FROM (SELECT uid, b, unnest(range(1, octet_length(b) - 398)) AS i FROM t WHERE octet_length(b) >= 400)),
+m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+r AS (SELECT uid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY uid ORDER BY i) + 400 THEN 0 ELSE 1 END AS apart FROM w SEMI JOIN m USING (h)),
+g AS (SELECT uid, i, sum(apart) OVER (PARTITION BY uid ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM r),
+s AS (SELECT uid, run, min(i) AS a, max(i) + 399 AS z FROM g GROUP BY uid, run),
+k AS (SELECT uid, a, z, coalesce(lag(z) OVER (PARTITION BY uid ORDER BY a), 0) AS before FROM s),
+c AS (
+  SELECT uid, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS z,
+         string_agg(CASE WHEN a > before + 1 THEN hex(b[before + 1:a - 1]) ELSE '' END, '' ORDER BY a) AS kept
+  FROM k JOIN t USING (uid) GROUP BY uid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN z IS NULL THEN b WHEN z < octet_length(b) THEN unhex(kept || hex(b[z + 1:octet_length(b)])) ELSE unhex(kept) END) AS kept_sha256
+FROM t LEFT JOIN c USING (uid)
+"""

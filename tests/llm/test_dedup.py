@@ -86,6 +86,21 @@ def test_groups_beyond_a_task_are_compared_in_parts(spark, monkeypatch):
 NOTHING = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
+def test_groups_left_over_are_narrowed_to_what_may_be_linked(spark):
+    rng = np.random.default_rng(2)
+    new = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    family, pair, common = new(60), new(60), new(3)
+    sets = [np.unique(np.concatenate([family, new(1)])) for _ in range(40)]  # one class already
+    sets += [np.unique(np.concatenate([pair[:57], new(3)])) for _ in range(2)]  # alike, not yet linked
+    sets += [np.unique(np.concatenate([common, new(60)])) for _ in range(40)]  # little in common
+    rows = [(7, 9, 0, i, 0 if i < 40 else i, x.tobytes()) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "comp long, parts int, part int, sid long, class long, tokens binary")
+    left = jaccard_join.narrowed(table, 85, spark.sparkContext.broadcast(NOTHING)).collect()
+    assert {40, 41} <= {r["sid"] for r in left} and not any(r["sid"] < 40 for r in left)
+    assert len({r["comp"] for r in left if r["sid"] in (40, 41)}) == 1 and {(r["parts"], r["part"]) for r in left} == {(1, 0)}
+    assert jaccard_join.narrowed(table.limit(0), 85, spark.sparkContext.broadcast(NOTHING)).isEmpty()
+
+
 @pytest.mark.parametrize(("seed", "percent"), [(1, 40), (2, 60), (3, 85)])
 def test_links_connect_what_similar_pairs_connect(seed, percent):
     rng = np.random.default_rng(seed)

@@ -10,6 +10,8 @@ from loamline.functions.text import priority_from_label
 from loamline.operators.reports import numbered
 from loamline.operators.tables import latest_by_key
 from loamline.schemas import PRODUCT, TASK
+from loamline.sources.json_arrays import read_array
+from loamline.sources.snapshots import Store
 
 
 def _path(spark: SparkSession, path: str):
@@ -28,7 +30,7 @@ def read_json_table(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     if not files.exists(hadoop):
         return spark.createDataFrame([], schema).withColumn("seq", F.lit(0).cast("long"))
     if files.getFileStatus(hadoop).isFile():
-        return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("seq", F.monotonically_increasing_id())
+        return read_array(spark, path, schema)
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("seq", T.LongType())])).json(path)
     if not rows.where("seq is null").isEmpty():
         place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")]
@@ -57,25 +59,19 @@ def save_tasks(tasks: DataFrame, path: str) -> None:
 
 
 def save_version(table: DataFrame, folder: str) -> str:
-    """Write a table as the next version of the snapshots in a folder; it may be read from an earlier one.
+    """Commit a table as the next version of the snapshots in a folder; it may be made from an earlier one.
 
-    A version counts once it is whole, so a lost job leaves the earlier one in place.
+    A version counts once it is whole. A writer that another one overtakes gets ``Conflict``; ``Store.update`` tries again.
     """
-    spark = table.sparkSession
-    path = f"{folder}/{len(_versions(spark, folder)) + 1:08d}"
-    save_table(table, path)
-    return path
+    store = Store(table.sparkSession, folder, form="json")
+    return f"{store.folder}/data/{store.commit_of(store.commit(table, store.commit_of().version)).parts[0]}"
 
 
 def latest_version(spark: SparkSession, folder: str) -> str:
-    """The path of the last whole version in a folder; where there is none, one that doesn't exist."""
-    whole = [x for x in _versions(spark, folder) if _path(spark, x)[1].exists(_path(spark, f"{x}/_SUCCESS")[0])]
-    return whole[-1] if whole else f"{folder}/00000000"
-
-
-def _versions(spark: SparkSession, folder: str) -> list[str]:
-    hadoop, files = _path(spark, folder)
-    return sorted(x.getPath().toString() for x in files.listStatus(hadoop)) if files.exists(hadoop) else []
+    """The path of the newest version in a folder; where there is none, one that doesn't exist."""
+    store = Store(spark, folder, form="json")
+    parts = store.commit_of().parts
+    return f"{store.folder}/data/{parts[0] if parts else 'none'}"
 
 
 def json_array(table: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from loamline.operators.book import depth
+from loamline.operators.totals import LEVELS, level_changes, levels, merge_batch
+from loamline.sources.snapshots import Store
 
 
 def depth_stream(orders: DataFrame, folder: str) -> StreamingQuery:
@@ -25,3 +27,25 @@ def depth_of_files(spark: SparkSession, source: str, pattern: str, prepare: Call
     orders = prepare(spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(source))
     depth_stream(orders, folder).awaitTermination()
     return spark.read.parquet(f"{folder}/levels")
+
+
+def level_store(spark: SparkSession, folder: str) -> Store:
+    return Store(spark, f"{folder}/changes", LEVELS)
+
+
+def change_stream(orders: DataFrame, folder: str) -> StreamingQuery:
+    """A running query that merges signed orders (side, price, quantity, sign) into a log of level changes, for the data available.
+
+    A micro-batch writes the levels that it touched and nothing else, and no state is kept besides the log; a batch that
+    is run again after a failure is known by its number and changes nothing. ``current_levels`` reads the book.
+    """
+    spark = orders.sparkSession
+
+    def merge(rows: DataFrame, batch: int) -> None:
+        merge_batch(level_store(spark, folder), level_changes(rows), batch)
+
+    return orders.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(merge).start()
+
+
+def current_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return levels(level_store(spark, folder).read())

@@ -1,0 +1,93 @@
+"""Versions of tables: races, retention, batches that come again."""
+
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
+from pyspark.sql import functions as F
+
+from loamline.operators import totals
+from loamline.schemas import PRODUCT
+from loamline.sources import json_tables
+from loamline.sources.snapshots import Conflict, Store
+from loamline.streaming.book import change_stream, current_levels
+
+
+def products(spark, *ids):
+    return spark.createDataFrame([(i, f"p{i}", i, i / 4) for i in ids], PRODUCT)
+
+
+def ids(rows):
+    return sorted(r["id"] for r in rows.collect())
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), PRODUCT)
+    assert store.read().isEmpty() and store.commit_of().version == 0
+    assert store.commit(products(spark, 1, 2), 0) == 1
+    with pytest.raises(Conflict):
+        store.commit(products(spark, 9), 0)
+    assert not store._claim(1, "{}")  # the last step refuses too, where both got so far
+    assert ids(store.read()) == [1, 2]
+    assert store.update(lambda rows: rows.where("id = 2")) == 2
+    assert store.commit(products(spark, 5), 2, append=True) == 3
+    assert [ids(store.read(v)) for v in (1, 2, 3)] == [[1, 2], [2], [2, 5]]
+    with pytest.raises(ValueError, match="no version 9"):
+        store.read(9)
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), PRODUCT)
+    store.commit(products(spark, 0), 0)
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda i: store.update(lambda rows: rows.unionByName(products(spark, i))), range(1, 5)))
+    assert sorted(made) == [2, 3, 4, 5] and ids(store.read()) == [0, 1, 2, 3, 4]
+    assert not list((tmp_path / "s" / "log").glob(".*draft"))
+
+
+def test_numbers_are_never_given_again(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), PRODUCT)
+    for k in range(3):
+        store.commit(products(spark, k), k)
+    assert store.retain(1) == [1, 2] and store.retain(1) == []
+    assert store.commit(products(spark, 7), 3) == 4
+    assert ids(store.read()) == [7] and ids(store.read(3)) == [2]
+    folder = str(tmp_path / "json")
+    json_tables.save_version(products(spark, 1), folder)
+    json_tables.save_version(products(spark, 2), folder)
+    Store(spark, folder, form="json").retain(1)
+    json_tables.save_version(products(spark, 3), folder)
+    assert ids(json_tables.load_products(spark, json_tables.latest_version(spark, folder))) == [3]
+    assert Store(spark, folder, form="json").versions() == [1, 2, 3]
+
+
+def test_totals_equal_a_recount_after_each_batch(spark, tmp_path):
+    values, counts = Store(spark, str(tmp_path / "v"), totals.VALUE), Store(spark, str(tmp_path / "i"), totals.IDS)
+    steps = [(None, products(spark, 1, 2, 70_000, 200_000)), (products(spark, 200_000), None), (products(spark, 2), products(spark, 2).withColumn("quantity", F.lit(9).cast("long"))), (products(spark, 1, 70_000), products(spark, 3)), (products(spark, 3), None)]
+    wanted = [(4, 200_000), (3, 70_000), (3, 70_000), (2, 3), (1, 2)]
+    for batch, ((gone, new), (n, highest)) in enumerate(zip(steps, wanted, strict=True)):
+        for _ in range(2):  # each batch comes twice
+            totals.merge_batch(values, totals.value_changes(totals.signed(gone, new)), batch, most_parts=3)
+            totals.merge_batch(counts, totals.id_changes(totals.signed(gone, new)), batch, most_parts=3)
+        assert totals.total_value(values.read()).first()["n_rows"] == n
+        assert totals.highest_id(counts.read()).first()["max_id"] == highest
+    assert totals.total_value(values.read()).first()["total_value"] == 9 * 0.5
+    assert len(values.commit_of().parts) < 3
+    totals.merge_batch(values, totals.value_changes(totals.signed(products(spark, 2).withColumn("quantity", F.lit(9).cast("long")), None)), 9)
+    assert totals.total_value(values.read()).first()["total_value"] is None
+
+
+def test_a_batch_writes_the_levels_that_it_touched_once(spark, tmp_path):
+    schema = "side string, price long, quantity long, sign long"
+    folder, levels = str(tmp_path / "book"), lambda: sorted(map(tuple, current_levels(spark, str(tmp_path / "book")).collect()))
+    batches = [[("Buy", 100, 5, 1), ("Buy", 100, 7, 1), ("Sell", 102, 4, 1)], [("Buy", 100, 5, -1), ("Sell", 102, 4, -1)], [("Sell", 103, 1, 1)]]
+    wanted = [[("Buy", 100, 12, 2), ("Sell", 102, 4, 1)], [("Buy", 100, 7, 1)], [("Buy", 100, 7, 1), ("Sell", 103, 1, 1)]]
+    for rows, after in zip(batches, wanted, strict=True):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        change_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), folder).awaitTermination()
+        assert levels() == after
+    store = Store(spark, f"{folder}/changes", totals.LEVELS)
+    last = store.commit_of()
+    part = spark.read.parquet(f"{store.folder}/data/{last.parts[-1]}")
+    assert [tuple(r) for r in part.collect()] == [("Sell", 103, 1, 1)]
+    assert totals.merge_batch(store, part, last.note["batch"]) == last.version  # a batch that comes again
+    assert levels() == wanted[-1]

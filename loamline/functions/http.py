@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamline.functions.text import or_default
+
 # The limits and texts of the protocol side.
 HEADER_BYTES, BODY_BYTES = 8192, 1048576
 VERSIONS = ["HTTP/1.0", "HTTP/1.1"]
@@ -103,7 +105,7 @@ def answer(valid: Column, error: Column, method: Column, path: Column, sent: Col
     to = route(method, path)
     status = F.when(~valid, "400 Bad Request").when(to == "not found", "404 Not Found").otherwise("200 OK")
     text = (
-        F.when(~valid, F.coalesce(F.nullif(error, F.lit("")), F.lit(BAD_REQUEST)))
+        F.when(~valid, or_default(error, BAD_REQUEST))
         .when(to == "home", HOME)
         .when(to == "about", ABOUT)
         .when(to == "message", F.concat(F.lit(RECEIVED), sent))

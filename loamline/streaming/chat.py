@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loamline.sources.chat import QUIT
@@ -31,6 +32,23 @@ def send_until_quit(messages: DataFrame) -> DataFrame:
     return messages.groupBy("talk").applyInPandasWithState(send, SENT, "ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def two_way(messages: DataFrame, within: str = "10 minutes", late: str = "0 seconds") -> DataFrame:
+    """Each message (talk, side, seq, ts, value) of a stream with the other side's last one before it: heard_seq and heard.
+
+    The two directions of a talk are one stream joined with itself. Of messages at one ts the one of largest seq is the last; what
+    is older than ``within`` isn't heard, and heard is null without any. A row comes once, when the watermark, which
+    follows ts by ``late``, has passed its ts; what the join and the aggregate hold goes with it, so the state is what
+    was said within ``within`` of the watermark. The pairs of the join are bounded by that span too.
+    """
+    mine = messages.withWatermark("ts", late)
+    other = messages.select(*[F.col(c).alias(f"o_{c}") for c in ("talk", "side", "seq", "ts", "value")]).withWatermark("o_ts", late)
+    span = (F.col("o_ts") < F.col("ts")) & (F.col("o_ts") >= F.col("ts") - F.expr(f"INTERVAL {within}"))
+    pairs = mine.join(other, (F.col("talk") == F.col("o_talk")) & (F.col("side") != F.col("o_side")) & span, "leftOuter")
+    last = F.max(F.struct("o_ts", "o_seq", "o_value")).alias("last")
+    found = pairs.groupBy("talk", "side", "seq", "ts", "value").agg(last)
+    return found.select("talk", "side", "seq", "ts", "value", F.col("last.o_seq").alias("heard_seq"), F.col("last.o_value").alias("heard"))
+
+
 def sent_from_files(spark: SparkSession, source: str, pattern: str, prepare: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
     """What is sent of the messages in the files of a folder, read as a stream until all are taken; folder is shared."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(source).schema

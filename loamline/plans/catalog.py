@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from loamline.functions import http
 from loamline.functions.text import double_input, integer_input, priority_from_input, priority_from_label, priority_label, priority_rank, product_verdict, status_mark, task_verdict
-from loamline.operators import book, reports, tables
+from loamline.operators import book, commands, reports, tables, totals
 from loamline.plans.lineage import checkpoint, remove, shared_folder
-from loamline.sources import json_tables
+from loamline.schemas import PRODUCT
+from loamline.sources import json_arrays, json_tables
 from loamline.sources.chat import until_quit
-from loamline.sources.prices import load_history
-from loamline.streaming.book import depth_of_files
-from loamline.streaming.chat import sent_from_files
+from loamline.sources.prices import adjusted_history, load_history
+from loamline.sources.snapshots import Conflict, Store
+from loamline.streaming.book import change_stream, current_levels, depth_of_files
+from loamline.streaming.chat import sent_from_files, two_way
+from loamline.streaming.receive import RECEIVED, handle_received, receive_messages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -336,13 +339,11 @@ def http_errors(spark, sf_dir):
     return http.handle(pages.select("page_id", raw.alias("raw"))).select("page_id", "valid", "error", "route", "status", "response")
 
 
-def http_cases(spark, sf_dir):
-    """Messages of eight shapes from raw text to answer: valid ones of three routes, too long a head, a line of two words,
-    an unknown version, a negative length, and a first length that is no number."""
-    talks = _table(spark, sf_dir, "conversations")
-    kind, sent = (F.col("conv_id") + F.col("turn")) % 8, F.concat(F.lit("\r\n\r\n"), F.col("text"))
+def _case(kind: Column, text: Column) -> Column:
+    sent = F.concat(F.lit("\r\n\r\n"), text)
     field = lambda line, *fields: F.concat(F.lit("\r\n".join([line, *fields])), sent)
-    raw = (
+    long = lambda more: F.concat(F.lit("POST /message HTTP/1.1\r\nContent-Length: "), (F.octet_length(text) + more).cast("string"), sent)
+    return (
         F.when(kind == 0, field("GET / HTTP/1.0", "A: 1", "a:2", "A:  3"))
         .when(kind == 1, field("GET /?q=1 HTTP/1.1"))
         .when(kind == 2, field("POST /message HTTP/1.1", "no colon", ": empty name"))
@@ -350,8 +351,44 @@ def http_cases(spark, sf_dir):
         .when(kind == 4, F.lit("GET /about\r\n\r\n"))
         .when(kind == 5, field("GET / HTTP/1.2"))
         .when(kind == 6, field("GET / HTTP/1.1", "Content-Length: -1"))
+        .when(kind == 8, long(5))
+        .when(kind == 9, F.concat(long(0), F.lit("surplus")))
         .otherwise(field("GET / HTTP/1.1", "Content-Length: abc", "Content-Length: 5"))
     )
+
+
+def http_received(spark, sf_dir):
+    """The messages of ``http_cases``, of which some are cut and some have bytes behind their end, from chunks of a stream:
+    each is cut anywhere, its chunks come in three runs, each of which goes on from the state of the one before."""
+    folder = _scratch(spark)
+    kind = (F.col("conv_id") + F.col("turn")) % 10
+    sent = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("connection"), kind.alias("kind"), F.encode(_case(kind, F.col("text")), "utf-8").alias("bytes"))
+    size = F.pmod(F.xxhash64("connection"), F.lit(1000)).cast("int") + 17
+    chunks = sent.withColumn("size", size).withColumn("last", F.ceil(F.octet_length("bytes") / size).cast("int"))
+    chunks = chunks.select("connection", "kind", "last", F.explode(F.sequence(F.lit(0), "last")).alias("seq"), "bytes", "size")
+    chunk = F.when(F.col("seq") < F.col("last"), F.substring("bytes", F.col("seq") * F.col("size") + 1, F.col("size")))
+    run = F.floor(3 * F.col("seq") / (F.col("last") + 1)).cast("int")
+    ts = F.lit("2020-01-01").cast("timestamp") + F.make_dt_interval(mins=10 * run, secs=F.col("seq"))
+    chunks = chunks.where((F.col("kind") != 8) | (F.col("seq") < F.col("last"))).select("connection", F.col("seq").cast("long").alias("seq"), ts.alias("ts"), chunk.alias("chunk"), run.alias("run"))
+    clock = spark.createDataFrame([("clock", 0)], "connection string, seq long").select("*", F.lit("2020-01-02").cast("timestamp").alias("ts"), F.lit(None).cast("binary").alias("chunk"))
+    for run in range(3):
+        part = chunks.where(F.col("run") == run).drop("run")
+        (part if run < 2 else part.unionByName(clock)).write.mode("append").parquet(f"{folder}/in")
+        stream = receive_messages(spark.readStream.schema(clock.schema).parquet(f"{folder}/in"), "1 hour")
+        writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        writer.start(f"{folder}/out").awaitTermination()
+    found = handle_received(spark.read.schema(RECEIVED).parquet(f"{folder}/out").where("connection <> 'clock'"))
+    value = lambda k: F.element_at("headers", k)
+    return _kept(spark, folder, found.select(
+        "connection", "method", "path", "version", value("A").alias("upper"), F.size("headers").cast("long").alias("n_headers"), "body", "valid", "error", "route", "response",
+    ))
+
+
+def http_cases(spark, sf_dir):
+    """Messages of eight shapes from raw text to answer: valid ones of three routes, too long a head, a line of two words,
+    an unknown version, a negative length, and a first length that is no number."""
+    talks = _table(spark, sf_dir, "conversations")
+    raw = _case((F.col("conv_id") + F.col("turn")) % 8, F.col("text"))
     found = http.handle(talks.select("conv_id", "turn", raw.alias("raw")))
     value = lambda k: F.element_at("headers", k)
     return found.select(
@@ -360,6 +397,105 @@ def http_cases(spark, sf_dir):
     )
 
 
+def _log(spark, sf_dir):
+    """Commands from events: a tenth of them for one task, some for tasks that don't exist, some that break a rule."""
+    e = F.col("event_id")
+    pick = lambda n, *items: F.element_at(F.array(*map(F.lit, items)), (e % n + 1).cast("int"))
+    return _table(spark, sf_dir, "events").select(
+        e.alias("seq"), pick(8, "add", "delete", "edit", "complete", "reopen", "complete", "edit", "reopen").alias("command"),
+        F.when(e % 10 == 3, 1).otherwise(1 + e * 31 % 700).cast("long").alias("id"), F.when(e % 13 == 0, "").otherwise(F.concat(F.lit("title "), e)).alias("title"),
+        F.when(e % 17 == 0, "").otherwise(F.col("event_type")).alias("description"), pick(5, "low", "HIGH", "Medium", "urgent", "High").alias("priority"),
+    )
+
+
+def task_command_log(spark, sf_dir):
+    """The outcome of every command of a log, and how many tasks there were before it."""
+    return commands.replay(_titled(spark, sf_dir), _log(spark, sf_dir)).outcomes
+
+
+def task_command_list(spark, sf_dir):
+    """The tasks after the log."""
+    return commands.replay(_titled(spark, sf_dir), _log(spark, sf_dir)).tasks
+
+
+def product_array(spark, sf_dir):
+    """Products written by many tasks as one JSON array, by descending id, and read from it by many tasks, with their places."""
+    folder = _scratch(spark)
+    json_arrays.write_array(products(spark, sf_dir).select("id", F.concat("name", F.lit(' }"{ \\ ')).alias("name"), "quantity", "price").withColumn("o", -F.col("id")), folder, "o")
+    return _kept(spark, folder, json_arrays.read_array(spark, folder, PRODUCT))
+
+
+def product_commit_log(spark, sf_dir):
+    """Every version of a table after writers have raced: one is refused and tries again from what the other has made,
+    old data goes, and the next number is still the next. Rows of the versions that are left."""
+    folder = _scratch(spark)
+    everything = products(spark, sf_dir)
+    store = Store(spark, folder, everything.schema)
+    store.commit(everything, 0)
+    store.commit(tables.delete(store.read(1), everything.where("id % 4 = 0").select("id")), 1)
+    try:
+        store.commit(store.read(1).where("id % 3 = 0"), 1)  # made from version 1, which isn't the newest any more
+    except Conflict:
+        store.update(lambda rows: rows.where("id % 3 = 0"))
+    store.retain(2)
+    store.commit(everything.where("id % 5 = 0"), 3, append=True)
+    kept = [store.read(v).withColumn("version", F.lit(v).cast("long")) for v in store.versions()[1:]]
+    return _kept(spark, folder, kept[0].unionByName(kept[1]).unionByName(kept[2]))
+
+
+def product_totals(spark, sf_dir):
+    """Total value, number of rows and highest id, kept through batches: all products come, a fifth is edited, a seventh and all of
+    the upper half go; the last batch is sent twice."""
+    folder = _scratch(spark)
+    everything = products(spark, sf_dir)
+    edited = _product_changes(spark, sf_dir)
+    half = F.broadcast(everything.agg(F.floor(F.max("id") / 2).alias("half")))  # one row
+    after = everything.where("id % 5 <> 0").unionByName(edited)
+    gone = after.join(half).where("id % 7 = 0 or id > half").drop("half")
+    batches = [totals.signed(None, everything), totals.signed(everything.where("id % 5 = 0"), edited), totals.signed(gone, None)]
+    values, ids = Store(spark, f"{folder}/value", totals.VALUE), Store(spark, f"{folder}/ids", totals.IDS)
+    found = []
+    for step, number in enumerate((0, 1, 2, 2)):
+        totals.merge_batch(values, totals.value_changes(batches[number]), number)
+        totals.merge_batch(ids, totals.id_changes(batches[number]), number, most_parts=3)
+        found.append(totals.total_value(values.read()).join(totals.highest_id(ids.read())).select(F.lit(step).cast("long").alias("step"), "total_value", "n_rows", "max_id"))
+    return _kept(spark, folder, found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]))
+
+
+def book_changes(spark, sf_dir):
+    """The depth of a book to which orders come and of which every tenth is cancelled later, as a stream of signed orders in two runs."""
+    folder = _scratch(spark)
+    orders = as_orders(_table(spark, sf_dir, "events")).select("id", "side", "price", "quantity")
+    for rows in (totals.signed(None, orders), totals.signed(orders.where("id % 10 = 0"), None)):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        change_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder).awaitTermination()
+    return _kept(spark, folder, current_levels(spark, folder))
+
+
+def chat_two_way(spark, sf_dir):
+    """Each message of a conversation with the other role's last one in the two minutes before it; a turn is a minute."""
+    folder = _scratch(spark)
+    ts = F.lit("2020-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("turn").cast("int"))
+    talks = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("talk"), F.col("role").alias("side"), F.col("turn").alias("seq"), ts.alias("ts"), F.col("text").alias("value"))
+    clock = [("clock", role, 0, "") for role in ("a", "b")]
+    end = spark.createDataFrame(clock, "talk string, side string, seq long, value string").select("talk", "side", "seq", F.lit("2021-01-01").cast("timestamp").alias("ts"), "value")
+    for run in range(2):
+        (talks.where("seq < 3") if run == 0 else talks.where("seq >= 3").unionByName(end)).write.mode("append").parquet(f"{folder}/in")
+        found = two_way(spark.readStream.schema(end.schema).parquet(f"{folder}/in"), "2 minutes")
+        writer = found.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        writer.start(f"{folder}/out").awaitTermination()
+    return _kept(spark, folder, spark.read.schema(found.schema).parquet(f"{folder}/out").where("talk <> 'clock'").drop("ts"))
+
+
+def history_adjusted(spark, sf_dir):
+    """Order totals as prices of their customer's symbol, adjusted by splits on some days: a factor a symbol, day and order."""
+    orders = _table(spark, sf_dir, "orders")
+    symbol = F.when(F.col("o_custkey") % 3 == 0, "all").otherwise(F.concat(F.lit("c"), F.col("o_custkey") % 100))
+    prices = orders.select("o_orderkey", symbol.alias("symbol"), F.col("o_orderdate").alias("day"), F.col("o_totalprice").alias("close"))
+    splits = prices.where("o_orderkey % 50 = 7").select("symbol", F.col("day").alias("ts"), F.when(F.col("o_orderkey") % 100 == 7, 0.5).otherwise(2.0).alias("factor"))
+    return adjusted_history(prices, splits, "day")
+
+
 def http_response(spark, sf_dir):
     talks = _table(spark, sf_dir, "conversations")
     return talks.select("conv_id", "turn", http.render_response(F.lit("200 OK"), F.concat(F.lit(http.RECEIVED), F.col("text"))).alias("response"))
@@ -376,6 +512,7 @@ QUERIES = {
         inventory_value, low_stock, product_by_id, product_list, product_verdicts, product_upsert, product_edit, product_delete, product_insert,
         product_insert_refused, product_lookup, product_lookup_empty, product_clear, product_snapshot, number_inputs, task_snapshot, task_short_list, task_insert, task_verdicts,
         filter_messages, priority_labels, task_first_by_id, book_sides, book_add, chat_until_quit, chat_stream, history_of_symbol, http_cases, product_json, next_id, task_by_status, task_by_priority, task_list, task_edit, task_sort_id, task_sort_priority, task_complete, task_reopen, task_delete_first,
+        http_received, task_command_log, task_command_list, product_array, product_commit_log, product_totals, book_changes, chat_two_way, history_adjusted,
         title_search, book_depth, book_fifo, book_stream, http_parse, http_route, http_errors, http_response, range_head,
     )
 }
@@ -392,7 +529,50 @@ _NEXT_TASK = "(SELECT max(o_orderkey) FROM orders)"
 _ANSWER = "concat('HTTP/1.1 ', status, chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), 'Content-Length: ', strlen(sent), chr(13), chr(10), 'Connection: close', chr(13), chr(10), chr(13), chr(10), sent) AS response"
 _SET = "SELECT id, priority, CASE WHEN id % 10 = 0 THEN {to} ELSE completed END AS completed, CASE WHEN id % 10 <> 0 THEN 'untouched' WHEN completed = {to} THEN 'already' ELSE '{done}' END AS outcome FROM ({task})"
 
+_REPLAY = f"""WITH RECURSIVE t AS ({_TITLED}),
+e AS (SELECT event_id AS seq, ['add', 'delete', 'edit', 'complete', 'reopen', 'complete', 'edit', 'reopen'][event_id % 8 + 1] AS command, CASE WHEN event_id % 10 = 3 THEN 1 ELSE 1 + event_id * 31 % 700 END AS asked,
+  CASE WHEN event_id % 13 = 0 THEN '' ELSE concat('title ', event_id) END AS title, CASE WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS description, ['low', 'HIGH', 'Medium', 'urgent', 'High'][event_id % 5 + 1] AS priority FROM events),
+c AS (SELECT *, CASE WHEN command <> 'add' THEN asked WHEN title <> '' THEN (SELECT max(id) FROM t) + sum(CASE WHEN command = 'add' AND title <> '' THEN 1 END) OVER (ORDER BY seq) END AS id FROM e),
+s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM c WHERE id IS NOT NULL),
+r AS (SELECT i.id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, t.id IS NOT NULL AS there, t.title, t.description, t.priority, t.completed, '' AS outcome FROM (SELECT DISTINCT id FROM s) i LEFT JOIN t ON t.id = i.id
+  UNION ALL
+  SELECT r.id, s.k, s.seq, CASE s.command WHEN 'add' THEN TRUE WHEN 'delete' THEN FALSE ELSE there END,
+    CASE WHEN s.command = 'add' OR good THEN s.title ELSE r.title END, CASE WHEN s.command = 'add' OR good THEN s.description ELSE r.description END,
+    CASE WHEN good THEN ['Low', 'Medium', 'High'][list_position(['low', 'medium', 'high'], lower(s.priority))] WHEN s.command = 'add' THEN CASE WHEN s.priority = 'low' THEN 'Low' WHEN s.priority = 'High' THEN 'High' ELSE 'Medium' END ELSE r.priority END,
+    CASE WHEN s.command = 'add' THEN FALSE WHEN there AND s.command = 'complete' THEN TRUE WHEN there AND s.command = 'reopen' THEN FALSE ELSE r.completed END,
+    CASE WHEN s.command = 'add' THEN 'Task added successfully.' WHEN NOT there THEN 'Task not found.' WHEN s.command = 'delete' THEN 'Task removed successfully.'
+      WHEN s.command = 'edit' THEN CASE WHEN s.title = '' THEN 'Task title cannot be empty.' WHEN s.description = '' THEN 'Task description cannot be empty.' WHEN s.priority = 'urgent' THEN 'Invalid priority.' ELSE 'Task updated successfully.' END
+      WHEN s.command = 'complete' THEN CASE WHEN r.completed THEN 'Task is already completed.' ELSE 'Task completed successfully.' END
+      WHEN r.completed THEN 'Task reopened successfully.' ELSE 'Task is already incomplete.' END
+  FROM (SELECT r.*, s.k AS next, r.there AND s.command = 'edit' AND s.title <> '' AND s.description <> '' AND s.priority <> 'urgent' AS good FROM r JOIN s ON s.id = r.id AND s.k = r.k + 1) r JOIN s ON s.id = r.id AND s.k = r.next)"""
+#: http_cases' columns for messages of ten shapes; k is the shape.
+_CASES = """CASE WHEN k IN (0, 1, 4, 5) THEN 'GET' WHEN k IN (2, 9) THEN 'POST' ELSE '' END AS method,
+  CASE k WHEN 0 THEN '/' WHEN 1 THEN '/?q=1' WHEN 2 THEN '/message' WHEN 4 THEN '/about' WHEN 5 THEN '/' WHEN 9 THEN '/message' ELSE '' END AS path,
+  CASE k WHEN 0 THEN 'HTTP/1.0' WHEN 1 THEN 'HTTP/1.1' WHEN 2 THEN 'HTTP/1.1' WHEN 5 THEN 'HTTP/1.2' WHEN 9 THEN 'HTTP/1.1' ELSE '' END AS version"""
+
 ORACLE_SQL = {
+    "http_received": f"""WITH c AS (SELECT concat(conv_id, '/', turn) AS connection, text, (conv_id + turn) % 10 AS k FROM conversations),
+m AS (SELECT *, k IN (0, 1, 2, 9) AS valid, CASE k WHEN 3 THEN 'Request headers too large' WHEN 4 THEN 'Malformed request line' WHEN 5 THEN 'Unsupported HTTP version' WHEN 6 THEN 'Request body too large' WHEN 7 THEN 'Invalid Content-Length' ELSE '' END AS error,
+  CASE k WHEN 0 THEN 'home' WHEN 1 THEN 'not found' WHEN 2 THEN 'message' WHEN 9 THEN 'message' ELSE 'bad request' END AS route FROM c),
+a AS (SELECT *, CASE WHEN NOT valid THEN '400 Bad Request' WHEN k = 1 THEN '404 Not Found' ELSE '200 OK' END AS status,
+  CASE WHEN k = 8 THEN 'Invalid HTTP request' WHEN NOT valid THEN error WHEN k = 0 THEN 'Hello from C++' WHEN k = 1 THEN 'route not found' ELSE concat('Received: ', text) END AS sent FROM m)
+SELECT connection, {_CASES}, CASE WHEN k = 0 THEN ' 3' END AS upper, CAST(CASE k WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 9 THEN 1 ELSE 0 END AS BIGINT) AS n_headers, CASE WHEN valid THEN text ELSE '' END AS body, valid, error, route, {_ANSWER} FROM a""",
+    "task_command_log": _REPLAY + """, o AS (SELECT seq, command, id, 'Task title cannot be empty.' AS outcome FROM c WHERE id IS NULL UNION ALL SELECT r.seq, s.command, r.id, r.outcome FROM r JOIN s ON s.seq = r.seq)
+SELECT seq, command, CAST(id AS BIGINT) AS id, outcome, CAST((SELECT count(*) FROM t) + coalesce(sum(CASE outcome WHEN 'Task added successfully.' THEN 1 WHEN 'Task removed successfully.' THEN -1 ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_tasks FROM o""",
+    "task_command_list": _REPLAY + """ SELECT CAST(id AS BIGINT) AS id, title, description, priority, completed FROM r QUALIFY there AND k = max(k) OVER (PARTITION BY id)
+UNION ALL SELECT id, title, description, priority, completed FROM t WHERE id NOT IN (SELECT id FROM s)""",
+    "product_array": f"SELECT id, concat(name, ' }}\"{{ \\ ') AS name, CAST(quantity AS BIGINT) AS quantity, price, row_number() OVER (ORDER BY id DESC) - 1 AS seq FROM ({_PRODUCT})",
+    "product_commit_log": f"WITH p AS ({_PRODUCT}), b AS (SELECT * FROM p WHERE id % 4 <> 0), c AS (SELECT * FROM b WHERE id % 3 = 0) SELECT *, CAST(2 AS BIGINT) AS version FROM b UNION ALL SELECT *, 3 FROM c UNION ALL SELECT *, 4 FROM c UNION ALL SELECT *, 4 FROM p WHERE id % 5 = 0",
+    "product_totals": f"""WITH p AS ({_PRODUCT}), q AS (SELECT id, quantity + CASE WHEN id % 5 = 0 THEN 100 ELSE 0 END AS quantity, price FROM p), z AS (SELECT * FROM q WHERE id % 7 <> 0 AND id <= (SELECT max(id) // 2 FROM p)),
+a AS (SELECT 0 AS step, id, quantity, price FROM p UNION ALL SELECT 1, * FROM q UNION ALL SELECT 2, * FROM z UNION ALL SELECT 3, * FROM z)
+SELECT CAST(step AS BIGINT) AS step, CAST(sum(quantity * CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS total_value, count(*) AS n_rows, max(id) AS max_id FROM a GROUP BY step""",
+    "book_changes": f"SELECT side, price, CAST(sum(quantity) AS BIGINT) AS quantity, count(*) AS n_orders FROM ({_ORDER}) WHERE id % 10 <> 0 GROUP BY side, price",
+    "chat_two_way": """SELECT CAST(a.conv_id AS VARCHAR) AS talk, a.role AS side, a.turn AS seq, a.text AS value, max(b.turn) AS heard_seq, arg_max(b.text, b.turn) AS heard
+FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.role <> a.role AND b.turn < a.turn AND b.turn >= a.turn - 2 GROUP BY a.conv_id, a.role, a.turn, a.text""",
+    "history_adjusted": """WITH p AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'all' ELSE concat('c', o_custkey % 100) END AS symbol, o_orderdate AS day, o_totalprice AS close FROM orders),
+f AS (SELECT symbol, day AS ts, CASE WHEN o_orderkey % 100 = 7 THEN 0.5 ELSE 2.0 END AS factor FROM p WHERE o_orderkey % 50 = 7),
+a AS (SELECT o_orderkey, coalesce(product(f.factor), 1.0) AS adjustment FROM p LEFT JOIN f ON f.symbol = p.symbol AND f.ts > p.day GROUP BY o_orderkey)
+SELECT o_orderkey, symbol, day, close, CAST(adjustment AS DOUBLE) AS adjustment, close * adjustment AS adjusted_close FROM p JOIN a USING (o_orderkey)""",
     "inventory_value": "SELECT CAST(sum(p_size * CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS total_value FROM part",
     "low_stock": "SELECT p_name AS name FROM part WHERE p_size < 10",
     "product_by_id": f"SELECT * FROM ({_PRODUCT}) WHERE id = 5",

@@ -45,6 +45,13 @@ def _read(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[list[np.ndarray],
     return texts, np.array([bool(w) for w in batch.column("target").to_pylist()], bool)
 
 
+def mark(keys: np.ndarray) -> bytes:
+    """What tells sets of sorted keys apart."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(np.ascontiguousarray(keys).tobytes())
+
+
 def pack(x: np.ndarray) -> bytes:
     """An array by planes of bytes, compressed."""
     raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
@@ -142,7 +149,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r, own in zip(held, asked, strict=True):
                 own = at[begin : begin + len(own)]
                 begin += len(own)
-                yield r[0], r[1], r[2], None, pack(n[own]), pack(n_target[own])
+                yield r[0], r[1], r[2], mark(keys[own]), pack(n[own]), pack(n_target[own])
 
     return _batches(rows())
 
@@ -173,11 +180,26 @@ def _times(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return n[where].astype(np.float64)
 
 
-def _score(distinct: int, total: int, total_target: int, starts: tuple[int, int]):
+def _check(parts: list[tuple], counts: list[tuple[np.ndarray, ...]], buckets: int) -> None:
+    """That the answers (by bucket and kind) are to this chunk's own words and pairs, else the texts were read in another order."""
+    got = {r[2]: r[3] for r in parts}
+    for kind, (keys, *_) in enumerate(counts):
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            if got.pop(2 * b + kind, None) != mark(keys[cuts[b] : cuts[b + 1]]):
+                raise ValueError("the texts came in another order when they were read again")
+    if got:
+        raise ValueError("the texts came in another order when they were read again")
+
+
+def _score(distinct: int, total: int, total_target: int, starts: tuple[int, int], buckets: int):
     """starts: how many texts with words there are, and how many of them are the target's."""
 
     def of(held: list[tuple], hashes: WordHashes) -> pa.RecordBatch:
         whole, *parts = sorted(held, key=lambda r: r[2])
+        if whole[2] != -1:
+            raise ValueError("the texts came in another order when they were read again")
         batch = pa.ipc.open_stream(whole[3]).read_next_batch()
         texts, wanted = _read(batch, hashes)
         chunk = Chunk(texts, wanted)
@@ -186,8 +208,7 @@ def _score(distinct: int, total: int, total_target: int, starts: tuple[int, int]
         (words, words_target), (pairs, pairs_target) = (
             [np.concatenate([np.zeros(0), *(unpack(r[k], np.uint64) for r in parts if r[2] % 2 == kind)]) for k in (4, 5)] for kind in (0, 1)
         )
-        if len(words) != len(chunk.words) or len(pairs) != len(chunk.pairs):
-            raise ValueError("the texts came in another order when they were read again")
+        _check(parts, chunk.counts, buckets)
         text = np.repeat(np.arange(len(sizes)), sizes)
         first = np.zeros(len(word), bool)
         first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
@@ -224,11 +245,11 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, chunk_bytes
 
     All words and pairs are counted, whatever their number. Texts are taken in chunks; a chunk sends its distinct words
     and pairs to the ranges of their hashes, each of ``bucket_bytes`` of the texts, and gets back their counts over all
-    chunks; the texts are read a second time for it, and ``docs`` must then come in the same order, as files do, else an
-    error is raised. So nothing that grows with the vocabulary is broadcast or reaches the driver. Words and pairs are told apart
+    chunks; the texts are read a second time for it, and ``docs`` must then come in the same order, as files do. An answer names
+    the keys that it is for, by a 128-bit hash, so a chunk of other words or pairs raises an error. So nothing that grows with the vocabulary is broadcast or reaches the driver. Words and pairs are told apart
     by 64-bit hashes. Empty and null texts have 0 tokens and null losses and score. With no target texts both models are
     the background and all scores are 0. Null ids are never targets; repeated rows count and score as often as they come,
-    each without its own counts only; other columns are ignored.
+    each without its own counts only; ids may have any type; other columns are ignored.
     """
     wanted = target_ids.select(F.col("doc_id").alias("w_id"), F.lit(True).alias("target")).where("w_id is not null").distinct()
     flags = checkpoint(docs.select("doc_id").join(wanted, F.col("doc_id") == F.col("w_id"), "left_semi").distinct())
@@ -247,8 +268,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, chunk_bytes
     distinct, total, total_target = np.sum([np.zeros(3, np.int64), *sums], axis=0).tolist()
     answered = answered.where("part >= 0").unionByName(texts.mapInArrow(_whole(chunk_bytes), ROWS)).repartition(2 * buckets, "chunk").sortWithinPartitions("chunk")
     return answered.mapInArrow(
-        _score(max(distinct, 1), total, total_target, (starts or 0, starts_target or 0)),
-        "doc_id long, n_tokens long, target_loss double, background_loss double, score double",
+        _score(max(distinct, 1), total, total_target, (starts or 0, starts_target or 0), buckets),
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double, score double",
     )
 
 

@@ -67,6 +67,38 @@ def test_losses_use_exact_counts_of_all_words_and_pairs(spark):
     assert Counter((r["doc_id"], r["n_tokens"], rounded(r["target_loss"]), rounded(r["background_loss"])) for r in found) == brute_losses(texts, targets)
 
 
+def test_texts_in_another_order_raise_an_error(spark, tmp_path):
+    """A source that gives its rows in another order each time: 40 texts of one size and one number of words and pairs."""
+    import pytest
+
+    flag = str(tmp_path / "read")
+    kind = "doc_id long, text string"
+    texts = [(i, f"w{i} x{i} y{i}") for i in range(10, 50)]
+
+    def shuffled(batches):
+        import os
+        import random
+
+        import pyarrow as pa
+
+        with open(flag, "a") as log:
+            log.write("x")
+        rows = random.Random(os.path.getsize(flag)).sample(texts, len(texts))
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+
+    docs = spark.range(1).coalesce(1).mapInArrow(shuffled, kind)
+    with pytest.raises(Exception, match="another order"):
+        lm_scoring.cross_entropy_difference(docs, spark.createDataFrame([(10,)], "doc_id long"), 30, 60).collect()
+
+
+def test_ids_of_another_type(spark):
+    docs = spark.createDataFrame([("a", "one two"), ("b", "two three"), (None, None)], "doc_id string, text string")
+    found = lm_scoring.cross_entropy_difference(docs, docs.select("doc_id").limit(1), 16, 64)
+    assert dict(found.dtypes)["doc_id"] == "string" and found.count() == 3
+
+
 def test_without_targets_all_scores_are_zero(spark):
     docs = documents(spark, [(1, "a b c"), (2, "a a")])
     assert [r["score"] for r in lm_scoring.cross_entropy_difference(docs, docs.select("doc_id").limit(0), 16, 64).collect()] == [0.0, 0.0]

@@ -12,8 +12,9 @@ REPEAT = 5
 #: Share of a group that the covariance is made of, and what scales it to a normal one: for 4 statistics,
 #: SHARE / P(chi2 with 6 degrees <= the SHARE quantile of chi2 with 4).
 SHARE, CONSISTENCY = 0.75, 1.486
-#: Concentration steps; rows that a group must have to be judged by itself; squared distance above which a row goes.
-STEPS, LEAST_ROWS, CUTOFF = 4, 50, 33.0
+#: Concentration steps; rows as many as which a language's moments weigh in each of its sources; squared distance above which a row
+#: goes, which chi-squared with 4 degrees of freedom exceeds 1.2 times in a million.
+STEPS, PRIOR_ROWS, CUTOFF = 4, 50, 33.0
 #: The statistics and the least standard deviation that each is given, in its transformed unit.
 STATISTICS = {"log_word_chars": 0.12, "log_symbols": 0.5, "log_dup_lines": 0.5, "log_repeats": 0.5}
 #: Statistics are integers in this unit, so sums are exact and reruns agree.
@@ -91,6 +92,15 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
 
 
+def _shrunk(moments: DataFrame, prior_rows: int) -> DataFrame:
+    """The moments of each language and source, and to them those of ``prior_rows`` rows of the language's moments; a language's stay."""
+    own = moments.withColumn("of", F.when(F.size(F.from_json("grp", "array<string>")) == 2, F.to_json(F.array(F.from_json("grp", "array<string>")[0]))))
+    sums = [c for c in moments.columns if c not in ("grp", "start", "n")]
+    prior = own.where("of is null").select(F.col("grp").alias("l_grp"), F.col("start").alias("l_start"), *[(F.col(c) * (F.lit(float(prior_rows)) / F.col("n"))).alias(f"l_{c}") for c in ("n", *sums)])
+    joined = own.join(limited(checkpoint(prior)), (F.col("of") == F.col("l_grp")) & (F.col("start") == F.col("l_start")), "left")
+    return joined.select("grp", "start", *[(F.col(c) + F.coalesce(F.col(f"l_{c}"), F.lit(0.0))).alias(c) for c in ("n", *sums)])
+
+
 def _shape(moments: DataFrame, by: list[str]) -> DataFrame:
     """mean m, lower Cholesky factor l of the floored covariance, and the log of its determinant."""
     floors = list(STATISTICS.values())
@@ -122,7 +132,7 @@ def _distance() -> Column:
     return sum((v * v for v in z), F.lit(0.0))
 
 
-def _concentrate(rows: DataFrame, shape: DataFrame) -> DataFrame:
+def _concentrate(rows: DataFrame, shape: DataFrame, prior_rows: int) -> DataFrame:
     """One step: the shape of the SHARE of each group's rows that lie nearest by the shape so far.
 
     Nearest by the distance's logarithm in steps of 1/64, so the cut comes from counts by group and step instead of a
@@ -135,10 +145,10 @@ def _concentrate(rows: DataFrame, shape: DataFrame) -> DataFrame:
     enough = F.sum("n").over(order) >= SHARE * F.sum("n").over(Window.partitionBy("grp", "start"))
     cut = counts.withColumn("enough", enough).where("enough").groupBy("grp", "start").agg(F.min("step").alias("cut"))
     kept = near.join(limited(checkpoint(cut)), ["grp", "start"]).where("step <= cut")
-    return checkpoint(_shape(_moments(kept, ["grp", "start"]), ["grp", "start"]))
+    return checkpoint(_shape(_shrunk(checkpoint(_moments(kept, ["grp", "start"])), prior_rows), ["grp", "start"]))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, prior_rows: int) -> DataFrame:
     """Two first shapes for each group: of all its rows, and of the rows within its middle half in each statistic.
 
     The quartiles come from counts by value; the values are integers.
@@ -154,18 +164,19 @@ def _starts(rows: DataFrame) -> DataFrame:
         inside = inside.where(F.col("x")[i].between(F.col("box")[i]["low"], F.col("box")[i]["high"]))
     whole = _moments(rows, ["grp"]).withColumn("start", F.lit(0))
     middle = _moments(inside, ["grp"]).withColumn("start", F.lit(1))
-    return checkpoint(_shape(whole.unionByName(middle), ["grp", "start"]))
+    return checkpoint(_shape(_shrunk(checkpoint(whole.unionByName(middle)), prior_rows), ["grp", "start"]))
 
 
-def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
+def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """The statistics of each row with base_failed, distance and kept.
 
-    Rows that pass the base rule are judged against their group: the language and source, or, where that has under
-    ``least_rows`` of them, all small groups of the language, or of all languages; a group that is still as small judges
-    nobody. Of a group's transformed statistics (log of word length, logs of the rates of symbols, repeated lines and
-    repeated words) the location and covariance are those of the ``SHARE`` of its rows with the least determinant, from
-    two fixed starts by ``STEPS`` concentration steps, with a least variance for each statistic. ``distance`` is the
-    squared Mahalanobis distance; a row above ``cutoff`` is an outlier and not kept.
+    Rows that pass the base rule are judged against their language and source, whatever its size. Of the group's transformed
+    statistics (log of word length, logs of the rates of symbols, repeated lines and repeated words) the location and
+    covariance are those of the ``SHARE`` of its rows with the least determinant, from two fixed starts by ``STEPS``
+    concentration steps, with a least variance for each statistic. In every step the language's own moments, found the same way,
+    are added with the weight of ``prior_rows`` rows: a source of few rows is judged much as its language is, and one of
+    many by itself, without a border between the two. A language of few rows has only them to be judged by. ``distance`` is the squared
+    Mahalanobis distance; a row above ``cutoff`` is an outlier and not kept.
 
     All steps are counts and sums by group with map-side partial sums, so a group may hold most rows. Null language and
     source are values. Null texts count as empty and fail the base rule. Repeated rows are judged alike. Other columns
@@ -174,27 +185,15 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int =
     rows = checkpoint(text_statistics(docs).withColumn("x", _vector()))
     judged = rows.where(~F.col("base_failed"))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    fine = judged.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    fine = fine.withColumn("grp", F.when(F.col("n") >= least_rows, F.to_json(F.array(name("lang"), name("source")))))
-    by_lang = fine.where("grp is null").groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    coarse = F.when(F.col("n_lang") >= least_rows, F.to_json(F.array(name("f.lang")))).otherwise(F.lit("[]"))
-    groups = fine.alias("f").join(by_lang.alias("l"), F.col("f.lang").eqNullSafe(F.col("l.lang")), "left")
-    groups = checkpoint(groups.select(F.col("f.lang").alias("g_lang"), F.col("f.source").alias("g_source"), F.coalesce("grp", coarse).alias("grp"), "n"))
-    sizes = groups.groupBy("grp").agg(F.sum("n").alias("n_grp"))
-    groups = limited(checkpoint(groups.drop("n").join(sizes.where(F.col("n_grp") >= least_rows), "grp").drop("n_grp")))
-    vectors = judged.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    vectors = vectors.select("uid", "grp", "x")
-
-    known = vectors.where("grp is not null")
-    shape = _starts(known)
+    by_source, by_lang = F.to_json(F.array(name("lang"), name("source"))), F.to_json(F.array(name("lang")))
+    known = judged.select(F.explode(F.array(by_source, by_lang)).alias("grp"), "x")
+    shape = _starts(known, prior_rows)
     for _ in range(STEPS):
-        shape = _concentrate(known, shape)
+        shape = _concentrate(known, shape, prior_rows)
     first = Window.partitionBy("grp").orderBy("logdet", "start")
     best = shape.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank", "start", "logdet")
     best = limited(checkpoint(best.withColumnRenamed("grp", "b_grp")))
-    named = rows.join(
-        groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")) & ~F.col("base_failed"), "left"
-    ).join(best, F.col("grp") == F.col("b_grp"), "left")
+    named = rows.withColumn("grp", F.when(~F.col("base_failed"), by_source)).join(best, F.col("grp") == F.col("b_grp"), "left")
     distance = _distance() / CONSISTENCY
     return named.select(
         "doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

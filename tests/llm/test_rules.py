@@ -169,6 +169,66 @@ def test_distances_equal_a_brute_force_determinant(spark):
         assert found[i]["kept"] == (d <= quality.CUTOFF)
 
 
+def brute_shrunk(groups):
+    """The same for the sources of one language: in every step a source's moments and ``PRIOR_ROWS`` rows of the language's."""
+    floors = np.diag([f**2 for f in quality.STATISTICS.values()])
+    groups = {k: x / quality.UNIT for k, x in groups.items()}
+    whole = np.concatenate(list(groups.values()))
+    second = lambda rows: np.einsum("ij,ik->jk", rows, rows)
+
+    def shape(rows, of=None):
+        n, s, p = len(rows), rows.sum(axis=0), second(rows)
+        if of is not None and len(of):
+            n, s, p = n + quality.PRIOR_ROWS, s + of.mean(axis=0) * quality.PRIOR_ROWS, p + second(of) / len(of) * quality.PRIOR_ROWS
+        m = s / n
+        return m, p / n - np.outer(m, m) + floors
+
+    def distances(x, m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def nearest(x, m, c):
+        step = np.floor(np.log(distances(x, m, c) + 1e-6) * 64)
+        return x[step <= np.sort(step)[int(np.ceil(quality.SHARE * len(x) - 1e-9)) - 1]]
+
+    def box(x):
+        low, high = (np.sort(x, axis=0)[int(np.ceil(q * len(x))) - 1] for q in (0.25, 0.75))
+        return x[np.all((x >= low) & (x <= high), axis=1)]
+
+    out = {k: [] for k in groups}
+    for start in (lambda x: x, box):
+        every = start(whole)
+        own = {k: start(x) for k, x in groups.items()}
+        own = {k: x for k, x in own.items() if len(x)}
+        if not len(every):
+            continue
+        for _ in range(quality.STEPS):
+            own = {k: nearest(groups[k], *shape(x, every)) for k, x in own.items()}
+            every = nearest(whole, *shape(every))
+        for k, x in own.items():
+            m, c = shape(x, every)
+            out[k].append((np.linalg.slogdet(c)[1], distances(groups[k], m, c) / quality.CONSISTENCY))
+    return {k: min(found, key=lambda f: f[0])[1] for k, found in out.items()}
+
+
+def test_sources_of_every_size_are_judged_by_one_rule(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "abcdefgh"[: rng.integers(1, 8)] + "#" * int(rng.integers(0, 8) == 0) + str(rng.integers(2000))
+    docs, at = None, 0
+    for source, n in (("one", 1), ("three", 3), ("below", 49), ("at", 50), ("many", 120)):
+        texts = [(at + i, ("\n" if i % 3 else " ").join([word() for _ in range(60)] + ["again"] * (i % 5))) for i in range(n)]
+        at += n
+        rows = documents(spark, texts, source)
+        docs = rows if docs is None else docs.unionByName(rows)
+    vectors = quality.text_statistics(docs).where("not base_failed").select("doc_id", "source", quality._vector().alias("x")).collect()
+    groups = {s: [r for r in vectors if r["source"] == s] for s in {r["source"] for r in vectors}}
+    wanted = brute_shrunk({s: np.array([r["x"] for r in rows], float) for s, rows in groups.items()})
+    found = by_id(quality.quality_verdicts(docs))
+    assert len(groups) == 5
+    for s, rows in groups.items():
+        for r, d in zip(rows, wanted[s], strict=True):
+            assert abs(found[r["doc_id"]]["distance"] - d) < 0.01 + 1e-3 * d, (s, r["doc_id"])
+
+
 def test_rows_without_an_id_go_by_themselves(spark):
     clean = [(None, " ".join(f"w{i * 7 % 1000}x{j}" for j in range(40))) for i in range(80)]
     docs = documents(spark, [*clean, (None, "too short"), (None, None), (7, "too short"), (7, clean[0][1])])

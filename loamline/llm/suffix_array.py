@@ -146,7 +146,22 @@ def _solve(length: int, first: bool, most: int):
     return run
 
 
-def _cut(length: int, first: bool):
+def to_characters(spans: list[tuple[int, int]], raw: bytes) -> list[tuple[int, int]]:
+    """Ascending spans of UTF-8 bytes, widened to whole characters; those that then touch or overlap become one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        while a > 0 and raw[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _cut(length: int, first: bool, characters: bool = False):
     """n_bytes, spans (begin, end), kept text as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +172,7 @@ def _cut(length: int, first: bool):
                 raw = text.encode("utf-8", "surrogatepass")
                 whole = len(raw) >= length and (later if first else copy)
                 parts = [(0, len(raw))] if whole else covered(spans, length, len(raw))
+                parts = to_characters(parts, raw) if characters else parts
                 at, kept = 0, []
                 for a, b in parts:
                     kept.append(raw[at:a])
@@ -174,13 +190,13 @@ def _cut(length: int, first: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, keep_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, keep_first: bool = False, carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, cuts, kept_sha256 and kept of each row: the bytes left without repeated strings of ``length``.
 
     Texts are UTF-8 bytes. A byte goes if a string of ``length`` bytes that covers it also starts elsewhere, in any
     document or the same; with ``keep_first`` only if it also starts earlier (by doc_id, null last, then position).
     Matches never cross documents, and are judged on the input. ``kept`` is null where nothing is cut; it may end inside
-    a character, so it is binary.
+    a character, so it is binary. With ``characters`` a character of which a byte goes goes whole.
 
     Null texts are empty. Rows of equal text are each other's copies. Other columns are ignored but for those of
     ``carry``, which come along as c_name.
@@ -190,17 +206,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     found = repeated_spans(docs, shape, solve, carry)
     kinds = "doc_id long, n_bytes long, cuts array<struct<begin:long,end:long>>, kept_sha256 string, kept binary"
     kinds = ", ".join([kinds, *[f"`c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]])
-    return found.mapInArrow(_cut(length, keep_first), kinds)
+    return found.mapInArrow(_cut(length, keep_first, characters), kinds)
 
 
 def cut_later_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the first copy of each repeated string left and the later ones cut out of their texts.
 
-    Parts of characters at the edges of a cut become replacement characters; documents of which only blanks are left go. ``n_chars``, where
+    Characters at the edges of a cut, of which some bytes are copied, go whole; documents of which only blanks are left go. ``n_chars``, where
     there is such a column, is counted anew for cut texts. All other columns stay as they are.
     """
     carry = tuple(c for c in docs.columns if c != "doc_id")
-    found = remove_repeats(docs, length, keep_first=True, carry=carry)
+    found = remove_repeats(docs, length, keep_first=True, carry=carry, characters=True)
     cut = F.size("cuts") > 0
     text = F.when(cut, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("c_text"))
     found = found.withColumn("new_text", text).where(~cut | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))

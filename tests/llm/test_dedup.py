@@ -209,6 +209,15 @@ def test_cut_documents_keep_columns_and_lose_empty_ones(spark):
     assert found == {1: (text, 0), 3: ("tail é ", 7), 4: ("clean", 0), 5: (None, 0)}
 
 
+def test_cuts_take_whole_characters(spark):
+    shared = "".join(chr(0x4E00 + i * 37 % 3000) for i in range(200))
+    docs = documents(spark, [(1, "á" + shared + "ж"), (2, "à" + shared + "з"), (3, "own " + shared + "ю")])
+    found = {r["doc_id"]: r["text"] for r in suffix_array.cut_later_copies(docs, 60).collect()}  # á, à and ж, з share bytes
+    assert found[1] == "á" + shared + "ж" and "\ufffd" not in found[2] + found[3]
+    assert found[3] in ("own ", "own ю") and set(found) == {1, 2, 3} - ({2} if 2 not in found else set())
+    assert suffix_array.to_characters([(1, 2), (3, 4)], "áж1".encode()) == [(0, 4)]
+
+
 @pytest.mark.parametrize(("seed", "letters", "depth"), [(1, 2, 5), (2, 3, 8), (3, 2, 13), (4, 4, 20), (5, 1, 40)])
 def test_longest_previous_factors_equal_brute_force(seed, letters, depth):
     symbols = np.random.default_rng(seed).integers(97, 97 + letters, 400).astype(np.uint8)

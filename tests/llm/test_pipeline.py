@@ -29,9 +29,9 @@ def test_query_equals_its_sql(spark, name):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op13_lexical_search"}))  # whose rows are the best of each item
 def test_queries_return_a_row_for_each_input_row(spark, name):
-    table = "pages" if name == "op9_warc" else "documents"
+    table = {"op9_warc": "pages", "op12_centroid_clustering": "embeddings"}.get(name, "documents")
     assert queries.QUERIES[name](spark, str(DATA)).count() == spark.read.parquet(str(DATA / f"{table}.parquet")).count()
 
 
@@ -64,6 +64,23 @@ def test_passages_of_just_over_fifty_words_are_cut_where_they_come_again(spark):
         assert all(p[5:-5] not in text for i, text in found.items() if i >= 10)
 
 
+@needs_data
+def test_no_later_copy_of_fifty_one_words_and_no_broken_character_is_left(spark):
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, str(DATA))
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_array_dedup(spark, docs, str(DATA)).collect()}
+    assert set(after) <= set(before)
+    seen: set[tuple] = set()
+    for i in sorted(after):
+        assert after[i].count("\ufffd") == before[i].count("\ufffd")
+        words = after[i].split()
+        own = {tuple(words[k : k + 51]) for k in range(len(words) - 50)}
+        assert not own & seen, i
+        seen |= own
+
+
 FOREIGN = """
 import sys
 sys.path.insert(0, {repo!r})

@@ -61,11 +61,9 @@ def headers(raw: Column) -> Column:
     return F.map_from_arrays(names, last)
 
 
-def request_error(raw: Column) -> Column:
-    """The first thing wrong with a message, empty for a valid one: head size, length, body size, request line, version."""
-    length, words = content_length(raw), tokens(raw)
+def _first_error(top: Column, length: Column, words: Column) -> Column:
     return (
-        F.when(F.octet_length(head(raw)) > HEADER_BYTES, HEADERS_TOO_LARGE)
+        F.when(F.octet_length(top) > HEADER_BYTES, HEADERS_TOO_LARGE)
         .when(length.isNull(), BAD_LENGTH)
         .when((length < 0) | (length > BODY_BYTES), BODY_TOO_LARGE)
         .when((F.size(words) < 3) | (F.get(words, F.lit(2)) == ""), BAD_LINE)
@@ -74,18 +72,25 @@ def request_error(raw: Column) -> Column:
     )
 
 
+def request_error(raw: Column) -> Column:
+    """The first thing wrong with a message, empty for a valid one: head size, length, body size, request line, version."""
+    return _first_error(head(raw), content_length(raw), tokens(raw))
+
+
 def parse_requests(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """All columns and method, path, version, headers, body, valid, error. A null message is an empty one.
 
-    An invalid message has no headers and no body; if its head or its length is at fault, no request line either.
+    An invalid message has no headers and no body; if its head or its length is at fault, no request line either. What
+    several fields hang on is worked out once, in projections of its own.
     """
     text = F.coalesce(F.col(raw), F.lit(""))
-    word = lambda i: F.coalesce(F.get(tokens(text), F.lit(i)), F.lit(""))
-    error = request_error(text)
-    line = lambda i: F.when(error.isin("", BAD_LINE, BAD_VERSION), word(i)).otherwise("")
+    read = messages.select("*", F.struct(text.alias("text"), head(text).alias("head"), content_length(text).alias("length"), tokens(text).alias("words")).alias("_read"))
+    read = read.withColumn("_error", _first_error(F.col("_read.head"), F.col("_read.length"), F.col("_read.words")))
+    text, error = F.col("_read.text"), F.col("_error")
+    line = lambda i: F.when(error.isin("", BAD_LINE, BAD_VERSION), F.coalesce(F.get(F.col("_read.words"), F.lit(i)), F.lit(""))).otherwise("")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return messages.select(
-        "*", line(0).alias("method"), line(1).alias("path"), line(2).alias("version"), F.when(error == "", headers(text)).otherwise(none).alias("headers"),
+    return read.select(
+        *[F.col(f"`{c}`") for c in messages.columns], line(0).alias("method"), line(1).alias("path"), line(2).alias("version"), F.when(error == "", headers(text)).otherwise(none).alias("headers"),
         F.when(error == "", body(text)).otherwise("").alias("body"), (error == "").alias("valid"), error.alias("error"),
     )
 

@@ -18,6 +18,7 @@ from loamline.plans.lineage import checkpoint, remove, shared_folder
 from loamline.schemas import PRODUCT
 from loamline.sources import json_arrays, json_tables
 from loamline.sources.chat import until_quit
+from loamline.sources.keyed import forget, save_bucketed, write_keyed
 from loamline.sources.prices import adjusted_history, load_history
 from loamline.sources.snapshots import Conflict, Store
 from loamline.streaming.book import change_stream, current_levels, depth_of_files
@@ -139,6 +140,23 @@ def product_lookup(spark, sf_dir):
     return tables.lookup(everything, asked)
 
 
+def product_lookup_bucketed(spark, sf_dir):
+    """The lookups of ``product_lookup`` in a table that lies in buckets of its key, which the join doesn't move."""
+    folder, name = _scratch(spark), f"products_{uuid.uuid4().hex}"
+    table = save_bucketed(products(spark, sf_dir), name, folder, buckets=8)
+    asked = products(spark, sf_dir).select(F.when(F.col("id") % 3 == 0, F.concat(F.lit("no "), "id")).otherwise((F.col("id") * 2).cast("string")).alias("asked"))
+    found = _kept(spark, folder, tables.lookup(table, asked))
+    forget(spark, name)
+    return found
+
+
+def task_keyed(spark, sf_dir):
+    """One task by its id out of files in ranges of ids with Bloom filters."""
+    folder = _scratch(spark)
+    write_keyed(_titled(spark, sf_dir), folder, files=8)
+    return _kept(spark, folder, tables.by_id(spark.read.parquet(folder), 777))
+
+
 def product_lookup_empty(spark, sf_dir):
     everything = products(spark, sf_dir)
     return tables.lookup(tables.cleared(everything), everything.select(F.col("id").cast("string").alias("asked"))).select("asked", "id", "outcome")
@@ -512,7 +530,7 @@ QUERIES = {
         inventory_value, low_stock, product_by_id, product_list, product_verdicts, product_upsert, product_edit, product_delete, product_insert,
         product_insert_refused, product_lookup, product_lookup_empty, product_clear, product_snapshot, number_inputs, task_snapshot, task_short_list, task_insert, task_verdicts,
         filter_messages, priority_labels, task_first_by_id, book_sides, book_add, chat_until_quit, chat_stream, history_of_symbol, http_cases, product_json, next_id, task_by_status, task_by_priority, task_list, task_edit, task_sort_id, task_sort_priority, task_complete, task_reopen, task_delete_first,
-        http_received, task_command_log, task_command_list, product_array, product_commit_log, product_totals, book_changes, chat_two_way, history_adjusted,
+        product_lookup_bucketed, task_keyed, http_received, task_command_log, task_command_list, product_array, product_commit_log, product_totals, book_changes, chat_two_way, history_adjusted,
         title_search, book_depth, book_fifo, book_stream, http_parse, http_route, http_errors, http_response, range_head,
     )
 }
@@ -631,3 +649,5 @@ SELECT conv_id, turn, CASE WHEN k IN (0, 1, 4, 5) THEN 'GET' WHEN k = 2 THEN 'PO
     "http_response": "SELECT conv_id, turn, concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/plain', chr(13), chr(10), 'Content-Length: ', strlen(concat('Received: ', text)), chr(13), chr(10), 'Connection: close', chr(13), chr(10), chr(13), chr(10), 'Received: ', text) AS response FROM conversations",
     "range_head": "SELECT o_orderdate, o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 5",
 }
+ORACLE_SQL["product_lookup_bucketed"] = ORACLE_SQL["product_lookup"]
+ORACLE_SQL["task_keyed"] = f"SELECT * FROM ({_TITLED}) WHERE id = 777"

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, by ``spark.checkpoint.dir``.
 
-    Where the session names none, a local one is set for a local master, as in tests; a cluster must name one.
+    Where the session names none, a new local one is set for a local master, as in tests; a cluster must name one.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or f"{tempfile.gettempdir()}/loamline-checkpoints")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loamline-"))
     return context.getCheckpointDir()
 
 

@@ -6,6 +6,7 @@ and pages to messages. All queries run over whole tables.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from loamline.sources import json_arrays, json_tables
 from loamline.sources.chat import until_quit
 from loamline.sources.keyed import forget, save_bucketed, write_keyed
 from loamline.sources.prices import adjusted_history, load_history
+from loamline.sources.search_index import search, write_searchable
 from loamline.sources.snapshots import Conflict, Store
 from loamline.streaming.book import change_stream, current_levels, depth_of_files
 from loamline.streaming.chat import sent_from_files, two_way
@@ -284,6 +286,18 @@ def title_search(spark, sf_dir):
     return reports.search_titles(_table(spark, sf_dir, "documents"), "The", "text").select("doc_id")
 
 
+#: A frequent word, one shorter than a gram, a rare one over a blank, and one that no text holds.
+SEARCHED = ("The", "Q", "ation THE", "no such words")
+
+
+def title_search_indexed(spark, sf_dir):
+    """The hits of several keywords, each in the files alone that hold its grams."""
+    folder = _scratch(spark)
+    write_searchable(_table(spark, sf_dir, "documents").select("doc_id", "text"), folder, "text", blocks=16)
+    hits = [search(spark, folder, "text", k).select(F.lit(k).alias("keyword"), "doc_id") for k in SEARCHED]
+    return _kept(spark, folder, functools.reduce(DataFrame.unionAll, hits))
+
+
 def book_depth(spark, sf_dir):
     return book.depth(as_orders(_table(spark, sf_dir, "events")))
 
@@ -531,7 +545,7 @@ QUERIES = {
         product_insert_refused, product_lookup, product_lookup_empty, product_clear, product_snapshot, number_inputs, task_snapshot, task_short_list, task_insert, task_verdicts,
         filter_messages, priority_labels, task_first_by_id, book_sides, book_add, chat_until_quit, chat_stream, history_of_symbol, http_cases, product_json, next_id, task_by_status, task_by_priority, task_list, task_edit, task_sort_id, task_sort_priority, task_complete, task_reopen, task_delete_first,
         product_lookup_bucketed, task_keyed, http_received, task_command_log, task_command_list, product_array, product_commit_log, product_totals, book_changes, chat_two_way, history_adjusted,
-        title_search, book_depth, book_fifo, book_stream, http_parse, http_route, http_errors, http_response, range_head,
+        title_search, title_search_indexed, book_depth, book_fifo, book_stream, http_parse, http_route, http_errors, http_response, range_head,
     )
 }
 
@@ -640,6 +654,7 @@ SELECT conv_id, turn, CASE WHEN k IN (0, 1, 4, 5) THEN 'GET' WHEN k = 2 THEN 'PO
   CASE WHEN k = 0 THEN ' 3' END AS upper, CASE WHEN k = 0 THEN '2' END AS lower, CASE WHEN k = 2 THEN 'empty name' END AS unnamed,
   CAST(CASE k WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS n_headers, CASE WHEN valid THEN text ELSE '' END AS body, valid, error, route, {_ANSWER} FROM a""",
     "title_search": "SELECT doc_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the')",
+    "title_search_indexed": "SELECT keyword, doc_id FROM documents, (SELECT unnest(['The', 'Q', 'ation THE', 'no such words']) AS keyword) WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), lower(keyword))",
     "book_depth": _DEPTH,
     "book_fifo": f"SELECT id, side, price, row_number() OVER (PARTITION BY side, price ORDER BY ts, id) AS place FROM ({_ORDER})",
     "book_stream": _DEPTH,

@@ -17,15 +17,16 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 FAN_IN = 4096
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(source, source_size, n_docs, target) of a table (source, size).
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, times: Column | None = None) -> DataFrame:
+    """(source, source_size, n_docs, target) of a table (source, size), each row of which stands for ``times`` documents or one.
 
     Sources by code point, null last, weigh ``weights``, repeating. Together they get ``share`` of all sizes; a target
     stops at ``most`` times its source's size and the excess goes to the others by weight until none is above: target =
     min(most * size, level * weight), and the level follows from sorting the sources by the level at which they stop.
     The windows run over the table of sources, one row each, not over documents.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    times = F.lit(1) if times is None else times
+    by_source = sizes.groupBy("source").agg(F.sum(F.col("size") * times).alias("source_size"), F.sum(times).alias("n_docs"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
     table = by_source.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
@@ -82,6 +83,26 @@ def _round_group(last: bool):
     return of
 
 
+def dealt(rows: DataFrame, rates: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """The documents of rows (doc_id, source, size, row, times) with their probability, draw and leaf (``node``).
+
+    A row that stands for many equal documents becomes blocks of up to ``fan_in`` of them, which are spread over tasks,
+    and then the documents, each with its place among the equal ones; the place goes into the hashes for leaf and draw. So
+    equal documents are spread over the leaves as others are.
+    """
+    blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / fan_in)))).repartition("row", "block")
+    end = F.least(F.col("times"), (F.col("block") + 1) * fan_in) - 1
+    placed = blocks.withColumn("place", F.explode(F.sequence(F.col("block") * fan_in, end)))
+    placed = placed.join(rates, F.col("source").eqNullSafe(F.col("t_source")), "left")
+    whole, leaves = F.floor("rate").cast("int"), F.ceil(F.col("n_docs") / fan_in).cast("long")
+    return placed.select(
+        "doc_id", "source", "size", "source_size", "target", "row", whole.alias("whole"),
+        F.when(F.col("size") > 0, F.col("rate") - whole).otherwise(0.0).alias("share"),
+        F.xxhash64("row", "place", F.lit("draw")).alias("draw"),
+        F.pmod(F.xxhash64("row", "place", F.lit("leaf")), F.greatest(leaves, F.lit(1))).alias("node"), F.lit(False).alias("open"),
+    )
+
+
 def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, fan_in: int = FAN_IN) -> DataFrame:
     """Copies of each document for a mix: doc_id, source, size, source_size, target, copies, taken, row.
 
@@ -89,25 +110,18 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, share
     the fractions are rounded by pivotal pairing: in leaves of about ``fan_in`` documents of one source, whatever the
     source's size, then the one document that each leaf leaves over in nodes of up to ``fan_in`` leaves, up to one node
     a source. So a source's words differ from its target by less than its largest document, and a document has at most
-    one copy more than the whole part. Leaves and draws hang on hashes of the rows, so reruns agree.
+    one copy more than the whole part. Leaves and draws hang on hashes of the rows and, of equal rows, their number, so
+    reruns agree and no leaf gets all equal rows.
 
     Null texts have size 0; documents of size 0 are taken 0 times. A null source is a source. Repeated rows are
     documents of their own; equal ones are interchangeable. Empty input gives no rows. Other columns are ignored.
     """
     text = docs["text"]
-    rows = checkpoint(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", text).alias("row")))
-    targets = checkpoint(source_targets(rows, weights, share, most))
+    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", text).alias("row"))
+    rows = checkpoint(rows.groupBy("doc_id", "source", "size", "row").agg(F.count(F.lit(1)).alias("times")))
+    targets = checkpoint(source_targets(rows, weights, share, most, F.col("times")))
     rates = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    rates = rates.select(F.col("source").alias("t_source"), "source_size", "target", "n_docs", "rate")
-    rows = rows.join(rates, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
-    whole = F.floor("rate").cast("int")
-    leaves = F.ceil(F.col("n_docs") / fan_in).cast("long")
-    rows = rows.select(
-        "doc_id", "source", "size", "source_size", "target", "row", whole.alias("whole"),
-        F.when(F.col("size") > 0, F.col("rate") - whole).otherwise(0.0).alias("share"),
-        F.xxhash64("row", F.lit("draw")).alias("draw"),
-        F.pmod(F.xxhash64("row", F.lit("leaf")), F.greatest(leaves, F.lit(1))).alias("node"), F.lit(False).alias("open"),
-    )
+    rows = dealt(rows, rates.select(F.col("source").alias("t_source"), "source_size", "target", "n_docs", "rate"), fan_in)
     most_docs = targets.agg(F.max("n_docs")).first()[0] or 0  # one number
     width, done = max(1, -(-most_docs // fan_in)), []
     while True:

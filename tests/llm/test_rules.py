@@ -81,6 +81,21 @@ def test_pivot_keeps_words_and_means():
     assert abs(taken / 400 - share).max() < 0.15
 
 
+def test_equal_rows_are_spread_over_leaves(spark):
+    equal = spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit("a").alias("source"), F.lit("one two three").alias("text"))
+    others = spark.range(300).select(F.col("id").cast("int").alias("doc_id"), F.expr("IF(id % 3 = 0, 'b', 'a')").alias("source"), F.expr("repeat('w ', cast(id % 40 AS INT))").alias("text"))
+    docs, size = equal.unionByName(others), mixing.count_space_words(F.col("text"))
+    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("row")).groupBy("doc_id", "source", "size", "row").agg(F.count(F.lit(1)).alias("times"))
+    rates = mixing.source_targets(rows, times=F.col("times")).select(F.col("source").alias("t_source"), "source_size", "target", "n_docs", F.lit(1.5).alias("rate"))
+    leaves = mixing.dealt(rows, rates, 64).groupBy("source", "node").count().collect()
+    assert sum(r["count"] for r in leaves) == 5300 and max(r["count"] for r in leaves) < 128 and len(leaves) > 70
+    runs = [sorted(map(tuple, mixing.mix(d, size, fan_in=64).collect()), key=str) for d in (docs, docs.repartition(7))]
+    assert runs[0] == runs[1] and len(runs[0]) == 5300
+    made = mixing.mix(docs, size, fan_in=64).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("largest"), F.sum("size").alias("all"), F.max("source_size").alias("source_size"))
+    for r in made.collect():
+        assert abs(r["taken"] - r["target"]) <= r["largest"] and r["all"] == r["source_size"]
+
+
 def test_mix(spark):
     texts = [(i, "w " * (1 + i % 7)) for i in range(300)] + [(1000, None), (1001, ""), (1, "w " * 2), (1, "w " * 2)]
     docs = documents(spark, texts, "a").union(documents(spark, [(i, "v v v") for i in range(2000, 2050)], None)).union(documents(spark, [(i, "u " * 9) for i in range(3000, 3300)], "b"))

@@ -101,6 +101,48 @@ def test_groups_left_over_are_narrowed_to_what_may_be_linked(spark):
     assert jaccard_join.narrowed(table.limit(0), 85, spark.sparkContext.broadcast(NOTHING)).isEmpty()
 
 
+@pytest.mark.parametrize(("seed", "k", "percent", "part"), [(1, 1, 50, 300), (2, 4, 85, 600)])
+def test_groups_far_beyond_a_part_are_compared_by_lists(spark, monkeypatch, seed, k, percent, part):
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", part)
+    texts = corpus(seed)
+    found = jaccard_join.jaccard_components(documents(spark, texts), k, percent)
+    assert Counter(map(tuple, found.collect())) == brute_components(texts, k, percent)
+
+
+def test_a_large_group_of_little_in_common_stays_linear(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 1 << 18)
+    rng = np.random.default_rng(4)
+    n, common = 20_000, rng.integers(0, 1 << 63, 8).astype(np.uint64)
+    own = rng.integers(0, 1 << 63, (n, 16)).astype(np.uint64)
+    own[1::1000, :15] = own[::1000, :15]  # a pair in each thousand: 23 of 25 shingles
+    sets = np.sort(np.concatenate([np.broadcast_to(common, (n, 8)), own], axis=1), axis=1)
+    rows = [(7, 19, i % 19, i, i, x.tobytes()) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "comp long, parts int, part int, sid long, class long, tokens binary")
+    nothing = spark.sparkContext.broadcast(NOTHING)
+    left, local = jaccard_join.narrowed_again(table, 85, nothing, str(tmp_path / "rounds"))
+    assert left.count() == 40 and {x for r in left.collect() for x in [r["sid"] % 1000]} == {0, 1}
+    groups = jaccard_join.verification_groups(table, 85, local).groupBy("comp", "i", "j").count().collect()
+    assert sum(g["count"] for g in groups) <= 40  # of all sets at once too, by the order that it came to
+    found = jaccard_join.verified_classes(table.where("sid < 3000").drop("class"), 85, nothing)
+    pairs = found.groupBy("root").agg(F.array_sort(F.collect_list("node")).alias("nodes")).collect()
+    assert sorted(tuple(r["nodes"]) for r in pairs) == [(i, i + 1) for i in range(0, 3000, 1000)]
+
+
+def test_lists_beyond_a_part_are_cut_by_further_orders(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 2000)
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 1 << 63, 30).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 10).astype(np.uint64)])) for _ in range(60)]
+    sets += [np.unique(np.concatenate([x[:-1], rng.integers(0, 1 << 63, 1).astype(np.uint64)])) for x in sets[:20]]
+    rows = [(7, 9, i % 9, i, i, x.tobytes()) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "comp long, parts int, part int, sid long, class long, tokens binary")
+    groups = jaccard_join.verification_groups(table, 80, spark.sparkContext.broadcast(NOTHING))
+    together = {(x, y) for r in groups.groupBy("comp", "i", "j").agg(F.collect_list("sid").alias("s")).collect() for x in r["s"] for y in r["s"]}
+    alike = [(i, j) for i in range(80) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    within = {(i, j) for i, j in together if i % 9 == j % 9}  # parts by themselves are verified before
+    assert alike and all(p in together or p in within for p in alike)
+
+
 @pytest.mark.parametrize(("seed", "percent"), [(1, 40), (2, 60), (3, 85)])
 def test_links_connect_what_similar_pairs_connect(seed, percent):
     rng = np.random.default_rng(seed)
